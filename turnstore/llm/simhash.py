@@ -197,7 +197,8 @@ def components(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS
     lowest = linked.groupBy("root").agg(F.min("_least").alias("_lowest"))
     linked = linked.join(lowest, "root").select("fp", "_lowest")
     whole = least.join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("_lowest", "_least").alias("component_id"))
-    return prints.join(whole, F.col("fp") == F.col("_fp")).drop("_fp")
+    # both sides are read as they lie, so that the join may split the rows of a fingerprint that very many texts share
+    return prints.join(materialise(whole), F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
