@@ -28,6 +28,11 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def share_of(h: Column, wanted: int, n: int) -> Column:
+    """True for about twice `wanted` of n rows, by their hash: a bounded sample then comes from few rows of each task."""
+    return F.pmod(h, F.lit(1 << 40)) < int(min(1.0, 2 * wanted / max(n, 1)) * (1 << 40))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, in the shared folder that spark.checkpoint.dir names.
 

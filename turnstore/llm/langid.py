@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstore.llm.common import held_out
+from turnstore.llm.common import held_out, share_of
 
 #: Most rows that the network learns from, and characters of each that it sees, from a place that the id decides.
 SAMPLE, SAMPLE_CHARS = 4000, 160
@@ -179,7 +179,8 @@ def train(texts: list[str], langs: list[str], steps: int = 350, batch: int = 128
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     """Learn from rows outside the held-out fold, the SAMPLE of least hash if there are more; None without any."""
     place = 1 + F.pmod(F.xxhash64(id_col, F.lit("place")), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1)))
-    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = known.where(share_of(F.xxhash64(id_col, F.lit("share")), SAMPLE, known.count())).select(
         F.xxhash64(id_col).alias("h"), F.substring(F.col(text_col), place.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang_col).alias("l")
     )
     rows = rows.where(F.col("t").rlike(r"\p{L}")).orderBy("h", "t", "l").limit(SAMPLE).collect()

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstore.llm.common import SPACE_CLASS, held_out, text_or_empty
+from turnstore.llm.common import SPACE_CLASS, held_out, share_of, text_or_empty
 
 #: Most labelled documents that the ranking is learned from, and most preference pairs.
 SAMPLE, PAIRS = 20_000, 100_000
@@ -87,7 +87,8 @@ def learn(x: np.ndarray, good: np.ndarray, seed: int = 7) -> dict:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Learn from labelled rows outside the held-out fold, the SAMPLE of least hash if there are more."""
     known = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("_good"))
-    chosen = known.where(~held_out(F.col(id_col))).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    known = known.where(~held_out(F.col(id_col)))
+    chosen = known.where(share_of(F.xxhash64(id_col, F.lit("share")), SAMPLE, known.count())).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
     # bounded: SAMPLE ids
     rows = with_features(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col).select(id_col, "_x", "_good")
     rows = sorted(rows.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).collect(), key=lambda r: (r[0], r[1]))
