@@ -12,6 +12,7 @@ the text; repeated rows get equal values; columns other than the two that are na
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -127,8 +128,14 @@ class Encoder:
     def words(self, unit: str) -> list[str]:
         """The pre-tokens of a unit, normalized."""
         if self.lower:
-            unit = unicodedata.normalize("NFC", unit)
+            if not unit.isascii():
+                unit = unicodedata.normalize("NFC", unit)
             unit = "".join([c.lower() for c in unit]) if "Σ" in unit else unit.lower()
+            # most units are letters, with or without a mark at the end; the pattern would part them just so
+            if unit.isalpha():
+                return [unit]
+            if unit[-1] in ".,!?;:" and unit[:-1].isalpha():
+                return [unit[:-1], unit[-1]]
         return self.pattern.findall(unit)
 
     def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
@@ -311,6 +318,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         enc = encoder(path)
+        gc.set_threshold(1_000_000)  # the memo is many small tuples and no cycles
         number = [*map(str, range(max(enc.tokens) + 1))]
         for batch in batches:
             n, ids_sha, text_sha, kept, decoded = [], [], [], [], []
