@@ -18,6 +18,7 @@ result; columns that aren't named are dropped by `fingerprints` and kept by `one
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -125,6 +126,25 @@ def links_within(group: np.ndarray, home: np.ndarray, pair: np.ndarray, fp: np.n
     return fp[out], fp[label[out]]
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches that are sorted by their first column, cut anew so that no group of it is parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy(zero_copy_only=False)
+        if held and held[-1].column(0)[-1].as_py() != g[0]:
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(np.searchsorted(g, g[-1]))
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def links(different: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (a, b) of different fingerprints (column fp) that span the classes of linked ones; repeats are possible."""
     if blocks <= max_bits:
@@ -135,28 +155,18 @@ def links(different: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS)
     met = keyed.join(large, ["t", "key"], "left").withColumn("c", chunks).withColumn("home", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     met = met.select("fp", "t", "key", "home", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
     grouped = met.select(
+        # two groups that share a hash only add pairs to verify
+        F.xxhash64("t", "key", F.least("home", "other"), F.greatest("home", "other")).alias("g"),
         "fp",
         "home",
         (F.col("home") != F.col("other")).cast("int").alias("pair"),
-        # two groups that share a hash only add pairs to verify
-        F.xxhash64("t", "key", F.least("home", "other"), F.greatest("home", "other")).alias("g"),
         F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(PIVOTS[:1].view(np.int64)[0])))).alias("d"),
     )
     # in a group of two chunks (pair is 1) only rows of different chunks are compared
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in (batch.column(n) for n in ("g", "home", "pair", "fp"))]
-            last = np.flatnonzero(columns[0] != columns[0][-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            held.append([c[:cut] for c in columns])
-            if cut:
-                yield found([np.concatenate(c) for c in zip(*held)])
-                held = []
-            held.append([c[cut:] for c in columns])
-        if held:
-            yield found([np.concatenate(c) for c in zip(*held)])
+        for group in whole_groups(batches):
+            yield found([group.column(n).to_numpy(zero_copy_only=False) for n in ("g", "home", "pair", "fp")])
 
     def found(columns: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in links_within(*columns, max_bits)], ["a", "b"])
