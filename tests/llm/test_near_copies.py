@@ -48,22 +48,22 @@ def test_components(spark, monkeypatch, chunk):
 
 def test_pairs_between(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    rows = [(k, int(rng.integers(0, 8)), int(rng.integers(50, 70)), k % 3, int(rng.integers(0, 9))) for k in range(60)]
-    want = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[3] == b[3] and a[4] != b[4] and 10 * min(a[2], b[2]) >= 8 * max(a[2], b[2])}
+    rows = [(k, int(rng.integers(0, 8)), int(rng.integers(50, 70)), bytes([k % 2]) * 104, k % 3, int(rng.integers(0, 9))) for k in range(60)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[3] == b[3] and a[4] == b[4] and a[5] != b[5] and 10 * min(a[2], b[2]) >= 8 * max(a[2], b[2])}
     for chunk in (4096, 4):
         monkeypatch.setattr(near_copies, "CHUNK", chunk)
-        got = near_copies.pairs_between(spark.createDataFrame(rows, "id long, fp long, n long, key long, root long").repartition(3)).collect()
+        got = near_copies.pairs_between(spark.createDataFrame(rows, "id long, fp long, n long, low binary, key long, root long").repartition(3)).collect()
         assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
 def test_slices(monkeypatch):
     text = copies(np.random.default_rng(5), 1)[0].encode()
     h = near_copies.shingle_set(text)
-    fp, keys = near_copies.set_fingerprint(h), near_copies.band_keys(h)
+    fp, keys = near_copies.set_fingerprint(h), near_copies.least_hashes(h)
     monkeypatch.setattr(near_copies.simhash, "GROUP", 7)
     monkeypatch.setattr(near_copies, "GROUP", 7 * len(near_copies.XOR))
     assert near_copies.shingle_set(text).tolist() == h.tolist()
-    assert near_copies.set_fingerprint(h) == fp and near_copies.band_keys(h).tolist() == keys.tolist()
+    assert near_copies.set_fingerprint(h) == fp and near_copies.least_hashes(h).tolist() == keys.tolist()
 
 
 def test_one_of_each(spark):
