@@ -247,6 +247,26 @@ def test_components(spark, monkeypatch, chunk):
     assert simhash.components(df.limit(0)).count() == 0
 
 
+def test_classes():
+    assert simhash.classes(4, np.array([1, 2, 0]), np.array([2, 3, 3])).tolist() == [0, 0, 0, 0]
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, m = int(rng.integers(1, 30)), int(rng.integers(0, 40))
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = [*range(n)]
+        for _ in range(n):
+            for a, b in zip(u.tolist(), v.tolist()):
+                want[a] = want[b] = min(want[a], want[b])
+        assert simhash.classes(n, u, v).tolist() == want
+
+
+def test_chain_in_one_group(spark):
+    """The links of a chain (2nd-3rd-4th-1st by the pivot's distance) of which one pair shares a single group."""
+    chain = [int(simhash.PIVOTS[0]) ^ sum(1 << b for b in bits) for bits in ((0, 1, 2), (3, 14, 26, 27), (0, 3, 13, 14, 26), (0, 1, 2, 13, 14, 26))]
+    df = spark.createDataFrame([*enumerate(np.array(chain, np.uint64).view(np.int64).tolist())], "doc_id long, fp long")
+    assert {r["component_id"] for r in simhash.components(df).collect()} == {0}
+
+
 def test_one_of_each(spark):
     docs = documents(spark, ["a b c d", None, "A B c d", "", "x y z", "x y z"])
     kept = simhash.one_of_each(docs)

@@ -83,16 +83,16 @@ def masks(blocks: int, max_bits: int) -> list[int]:
 def classes(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The least index of each of n rows' class, given the links u, v."""
     label = np.arange(n)
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        live = label[u] != label[v]
-        u, v = u[live], v[live]
-    while (label != label[label]).any():
-        label = label[label]
-    return label
+    while True:
+        # roots, as each label is one: a link goes only if both ends hang on the same one, which no later step parts
+        a, b = label[u], label[v]
+        live = a != b
+        u, v, a, b = u[live], v[live], a[live], b[live]
+        if not len(u):
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != (up := label[label])).any():
+            label = up
 
 
 def links_within(group: np.ndarray, home: np.ndarray, pair: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
