@@ -44,3 +44,22 @@ def test_top_k(spark):
     assert [r["id"] for r in vectors.query(base, x[7], 15).orderBy("rank").collect()] == want
     queries = base.where("id = 7").selectExpr("id as query_id", "embedding as vector")
     assert [r["id"] for r in vectors.query_batch(base, queries, 15).orderBy("rank").collect()] == want
+
+
+@pytest.mark.parametrize("rows", [7, 2048])
+def test_query_batch(spark, monkeypatch, rows):
+    """Every hundredth row against all, with copies, a missing and a shorter vector; scored by blocks, not by pairs of rows."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 2)
+    x = [v.tolist() for v in HashEmbedder(16).embed([f"t{k % 97}" if k % 3 else "same" for k in range(900)])]
+    x[5], x[300] = None, x[300][:4]
+    base = spark.createDataFrame([*enumerate(x)], "id long, embedding array<float>").repartition(3)
+    wanted = base.where("id % 100 = 0").selectExpr("id as query_id", "embedding as vector")
+    rows = vectors.query_batch(base, wanted, 5)
+    want = []
+    for q in range(0, 900, 100):
+        far = {k: (0, 0.0) if v is None or len(v) != len(x[q]) else (1, 1.0 - sum((a * b for a, b in zip(v, x[q])), 0.0)) for k, v in enumerate(x)}
+        want += [(q, k, n + 1) for n, k in enumerate(sorted(far, key=lambda k: (far[k], k))[:5])]
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in rows.collect()) == sorted(want, key=lambda w: (w[0], w[1]))
+    assert vectors.query_batch(base, wanted, 0).count() == 0
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # to blocks on both sides, and their scores

@@ -5,13 +5,19 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstore.functions.vectors import cosine_distance, distance_to
+from turnstore.functions.vectors import distance_to
 from turnstore.operators.where import compile_where
 from turnstore.schemas import INDEXED, VECTORS
 
+#: Numbers and rows of a block of vectors; queries that are compared with one at once.
+BLOCK, BLOCK_ROWS, BLOCK_QUERIES = 1 << 18, 2048, 256
+
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of each key the row that comes last."""
@@ -57,12 +63,106 @@ def query(base: DataFrame, vector: Sequence[float], limit: int, where: dict | No
     return top.select(F.row_number().over(Window.orderBy("distance", key)).alias("rank"), key, "distance")  # `limit` rows
 
 
+def blocks(rows: DataFrame, key: str, vector: str, names: tuple[str, str]) -> DataFrame:
+    """The rows as blocks of at most BLOCK numbers: a list of keys and one of vectors, both named by `names`; no shuffle."""
+    rows = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            longest = pc.max(pc.list_value_length(batch.column(1))).as_py() or 1
+            while at < batch.num_rows:
+                part = batch.slice(at, max(1, min(BLOCK_ROWS, BLOCK // longest)))
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in (0, 1)], list(names))
+
+    kind = rows.schema["k"].dataType.simpleString()
+    return rows.mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} array<array<double>>")
+
+
+def matrices(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Positions and matrix of the vectors of each length; those that are null or hold nulls have length -1."""
+    sizes, numbers = pc.list_value_length(column), column.flatten()
+    if len(column) and not column.null_count and not numbers.null_count and (n := sizes[0].as_py()) == pc.min(sizes).as_py() == pc.max(sizes).as_py():
+        return {n: (np.arange(len(column)), numbers.to_numpy().reshape(len(column), n))}
+    at: dict[int, list[int]] = {}
+    vectors = column.to_pylist()
+    for k, v in enumerate(vectors):
+        at.setdefault(-1 if v is None or None in v else len(v), []).append(k)
+    return {n: (np.array(ks), np.array([vectors[k] for k in ks], np.float64).reshape(len(ks), n) if n >= 0 else np.zeros((len(ks), 0))) for n, ks in at.items()}
+
+
+def different(x: np.ndarray, place: np.ndarray, limit: int) -> np.ndarray:
+    """Positions in x without those that `limit` equal vectors precede: no query needs them."""
+    order = np.argsort(place, kind="stable")
+    _, same = np.unique(x[order], axis=0, return_inverse=True)
+    same = same.reshape(-1)
+    by = np.argsort(same, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(same[by]) != 0])
+    nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
+    return order[by[nth < limit]]
+
+
+def nearest_within(x: np.ndarray, place: np.ndarray, q: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in q and x, and distances, of the `limit` nearest rows of x to each row of q; ties by place.
+
+    One matrix product, whose last digits depend on a row's position, finds the candidates; their distances are then
+    summed in the order of the numbers, so that equal vectors are equally far.
+    """
+    with np.errstate(all="ignore"):
+        near = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        wide = np.nan_to_num(1e-14 * (x.shape[1] + 1) * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max()), nan=np.inf)
+        least = np.partition(near, len(x) - limit, axis=1)[:, len(x) - limit] if limit < len(x) else np.full(len(q), -np.inf)
+        i, j = np.nonzero(near >= (least - wide)[:, None]) if limit < len(x) else np.nonzero(np.ones(near.shape, bool))
+        d = np.zeros(len(i))
+        for k in range(x.shape[1]):
+            d += x[j, k] * q[i, k]
+        d = 1.0 - d
+    best = np.lexsort((place[j], d, i))
+    i, j, d = i[best], j[best], d[best]
+    first = np.searchsorted(i, i)
+    keep = np.arange(len(i)) - first < limit
+    return i[keep], j[keep], d[keep]
+
+
 def query_batch(base: DataFrame, queries: DataFrame, limit: int, key: str = "id", query_key: str = "query_id") -> DataFrame:
-    """The nearest rows of each of a stated set of query vectors (query_key, vector); small by nature, one side of all pairs."""
-    pairs = base.crossJoin(queries.select(query_key, F.col("vector")))
-    scored = pairs.select(query_key, key, cosine_distance(F.col("embedding"), F.col("vector")).alias("distance"))
+    """The nearest rows of each query vector (query_key, vector), all rows against all; ties by key.
+
+    Blocks of rows meet blocks of queries; of each two the nearest of each query stay, and those are merged by query.
+    A row without a vector of the query's length has the distance null, which comes first.
+    """
+    if limit < 1:
+        return base.crossJoin(queries).select(query_key, key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).where("false")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, query_key), (base, key))]
+    pairs = blocks(base, key, "embedding", ("ks", "vs")).crossJoin(blocks(queries.repartition(query_key), query_key, "vector", ("qs", "us")))
+
+    def found(ks: pa.Array, vs: pa.ListArray, qs: pa.Array, us: pa.ListArray):
+        place = np.empty(len(ks), np.int64)
+        place[pc.sort_indices(ks, null_placement="at_start").to_numpy()] = np.arange(len(ks))
+        held = matrices(vs)
+        for n, (at, q) in matrices(us).items():
+            rest = np.concatenate([x[0] for m, x in held.items() if m != n or n < 0] or [np.zeros(0, np.int64)])
+            if len(rest):
+                rest = rest[np.argsort(place[rest])[:limit]]
+                yield np.repeat(at, len(rest)), np.tile(rest, len(at)), np.full(len(at) * len(rest), np.nan), True
+            if n >= 0 and n in held:
+                rows, x = held[n]
+                few = different(x, place[rows], limit)
+                rows, x = rows[few], x[few]
+                for k in range(0, len(at), BLOCK_QUERIES):
+                    i, j, d = nearest_within(x, place[rows], q[k : k + BLOCK_QUERIES], limit)
+                    yield at[k : k + BLOCK_QUERIES][i], rows[j], d, False
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ks, vs, qs, us = (batch.column(c)[k].values for c in range(4))
+                for i, j, d, none in found(ks, vs, qs, us):
+                    yield pa.RecordBatch.from_arrays([qs.take(pa.array(i)), ks.take(pa.array(j)), pa.nulls(len(i), pa.float64()) if none else pa.array(d)], ["q", "k", "distance"])
+
+    top = pairs.mapInArrow(run, f"q {kinds[0]}, k {kinds[1]}, distance double").select(F.col("q").alias(query_key), F.col("k").alias(key), "distance")
     place = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
-    return scored.withColumn("rank", place).where(F.col("rank") <= limit)
+    return top.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
 def list_ids(base: DataFrame, where: dict | None = None, key: str = "id") -> DataFrame:
