@@ -202,6 +202,16 @@ def test_html(spark):
     assert [got[k]["text"] for k in (2, 3, 4)] == ["", "", ""] and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_html_long_attributes():
+    long = ' class="ad" style="' + "x" * 200 + '"'
+    for order in ((long, ""), ("", long), (long, long.replace("ad", "story"))):
+        parser = html_text.Parser()
+        for attributes in order:
+            assert parser.path_slots("div", attributes) == html_text.Parser().path_slots("div", attributes)
+    parser, pages = html_text.Parser(), [f"<div{long}>Buy now.</div>", "<div>A text.</div>", f"<div{long}>Buy now.</div>"]
+    assert [parser.blocks(p) for p in pages] == [html_text.Parser().blocks(p) for p in pages]
+
+
 def slow_fingerprint(text, n=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]

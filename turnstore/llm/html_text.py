@@ -55,15 +55,16 @@ class Parser:
         self.tags: dict[tuple[str, str], list[int]] = {}
 
     def path_slots(self, tag: str, attributes: str) -> list[int]:
-        key = (tag, attributes if len(attributes) < 200 else "")
+        key = (tag, attributes)
         if (out := self.tags.get(key)) is None:
             names = [tag]
             for m in ATTRIBUTE.finditer(attributes):
                 names += ["." + x.lower() for x in NAME.findall(m[2] or m[3] or m[4] or "")]
             out = [slot(x, PATH_DIM) for x in names]
-            if len(self.tags) > 50_000:
-                self.tags.clear()
-            self.tags[key] = out
+            if len(attributes) < 200:  # longer ones rarely come again
+                if len(self.tags) > 50_000:
+                    self.tags.clear()
+                self.tags[key] = out
         return out
 
     def blocks(self, page: str) -> list[tuple[str, list[int], int, int]]:
