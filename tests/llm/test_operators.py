@@ -212,6 +212,23 @@ def test_html_long_attributes():
     assert [parser.blocks(p) for p in pages] == [html_text.Parser().blocks(p) for p in pages]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><meta a=b><title>x</title><body><p>Some text.</p></body></html>", ["Some text."]),
+        ("<head><title>x</title><link rel=a><script>y</script><h1>Top</h1>text<p>more", ["Top", "text", "more"]),
+        ("<head><title>x</title>\n<meta a=b> Bare text<p>more", ["Bare text", "more"]),
+        ("<head><title>x<meta a=b><body><p>Some text.</p>", ["Some text."]),
+        ("<head><title>x</head><body>Some text.<svg><title>no</title></svg>", ["Some text."]),
+        ("<title>x<p>Some text.", ["Some text."]),
+        ("<head><title>How <b> is used</title></head><body>Some <title>no</title> text.", ["Some", "text."]),
+        ("<html><head><title>x</title><style>p</style></head>\n<body><header>a</header><p>b</body>", ["a", "b"]),
+    ],
+)
+def test_html_open_head(page, want):
+    assert [b[0] for b in html_text.Parser().blocks(page)] == want
+
+
 def slow_fingerprint(text, n=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]

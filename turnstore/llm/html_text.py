@@ -6,7 +6,8 @@ numbers, and labels it as main text or not, with the whole page as context. It l
 makes up: articles under many layouts, with menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 Defined cases: null or empty html, and pages without a main block, give the empty string; unclosed elements end where
-their parent does, and unclosed comments, scripts and styles run to the end of the page; pages of any length are read
+their parent does, an unclosed head or title at the first tag (for a head: or text) that can't be inside a head, and
+unclosed comments, scripts and styles run to the end of the page; pages of any length are read
 whole (one page at a time if they are long); repeated rows get equal texts; other columns than those named are dropped.
 """
 
@@ -25,13 +26,16 @@ from pyspark.sql import functions as F
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head title script style noscript template svg math iframe object canvas textarea select option button audio video".split())
+#: Start tags that don't end an open head.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 #: An open element of these is ended by another one of the same name in the same parent.
 SIBLINGS = frozenset("li dt dd tr td th option".split())
 PARENTS = ("ul", "ol", "dl", "table", "select")
 BREAKS_P = frozenset("address article aside blockquote details dl div fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>",
+    # a title that has its end tag holds no tags
+    r"<!--.*?(?:-->|\Z)|(?P<title><title(?:\s[^>]*+)?+(?<!/)>[^<]*+(?:<(?!/?(?:title|head|body)\b)[^<]*+)*+</title\s*>)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?>[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -94,25 +98,34 @@ class Parser:
                 links -= t == "a"
             del stack[k:]
 
+        def words_in_head(a: int, b: int) -> None:
+            """End an open head before text from a to b that lies in none of its elements."""
+            if hidden and stack[-1][0] == "head" and page[a:b].strip(" \t\n\f\r"):
+                close(len(stack) - 1)
+
         for m in TOKEN.finditer(page):
-            if m.start() > at and not hidden:
-                text = page[at : m.start()]
-                parts.append(text)
-                if links:
-                    linked += len(text)
+            if m.start() > at:
+                words_in_head(at, m.start())
+                if not hidden:
+                    text = page[at : m.start()]
+                    parts.append(text)
+                    if links:
+                        linked += len(text)
             at = m.end()
-            if not m[3]:
-                if m[1]:
+            if not m["tag"]:
+                if m["raw"] or m["title"]:
                     end()
                 continue
-            tag = m[3].lower()
-            if m[2]:
+            tag = m["tag"].lower()
+            if m["end"]:
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if k is not None:
                     close(k)
                 elif tag not in INLINE:
                     end()
                 continue
+            if hidden and tag not in IN_HEAD and (k := next((i for i, (t, _) in enumerate(stack) if t in ("head", "title")), None)) is not None:
+                close(k)
             if tag == "br":
                 parts.append(" ")
                 continue
@@ -124,10 +137,11 @@ class Parser:
                     k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, *PARENTS)), None)
                     if k is not None and stack[k][0] == tag:
                         close(k)
-            if tag not in VOID and not m[4].endswith("/"):
-                stack.append((tag, self.path_slots(tag, m[4])))
+            if tag not in VOID and not m["attributes"].endswith("/"):
+                stack.append((tag, self.path_slots(tag, m["attributes"])))
                 hidden += tag in DROPPED
                 links += tag == "a"
+        words_in_head(at, len(page))
         if at < len(page) and not hidden:
             parts.append(page[at:])
         end()
