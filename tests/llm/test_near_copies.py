@@ -56,6 +56,24 @@ def test_pairs_between(spark, monkeypatch):
         assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
+def test_small_sets(spark):
+    """Pairs of four and five shingles, similar by 0.8, whose fingerprints differ in more than MAX_BITS bits."""
+    texts = []
+    for k in (1511, 2179, 19301, 27434):
+        words = [f"w{k}x{i}" for i in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    x = np.array([near_copies.set_fingerprint(near_copies.shingle_set(t.encode())) for t in texts])
+    assert (np.bitwise_count(x[::2] ^ x[1::2]) > near_copies.MAX_BITS).all()
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components(documents(spark, texts)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(8)} == dict(enumerate(slow_components(texts)))
+    # the same in a group of several components
+    order = np.argsort([4, 5] * 4, kind="stable")
+    group, n, root, zero = order // 2, np.array([4, 5] * 4)[order], order, np.zeros(8, np.int64)
+    by = np.lexsort((n, group))
+    pairs = near_copies.pairs_within(group[by], n[by], zero, zero, root[by], x[order][by].view(np.int64), np.zeros((8, 104), np.uint8))
+    assert sum(len(a) for a, _ in pairs) == 4
+
+
 def test_slices(monkeypatch):
     text = copies(np.random.default_rng(5), 1)[0].encode()
     h = near_copies.shingle_set(text)
