@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from turnstore.functions import vectors as fv
 from turnstore.functions.content import flatten_content, parse_timestamp
 from turnstore.operators import ingest, metrics, sessions, vectors
+from turnstore.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,9 +37,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder, shared by all executors where the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-turnstore-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("select conv_id as session_id, turn as seq, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 2")
