@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from turnstore.llm.common import materialise
+from turnstore.llm.common import materialise, without
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Blocks that the 64 bits are cut into. Beyond some 10^9 different fingerprints six keep groups small.
@@ -214,5 +214,4 @@ def components(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the row of the least id stays, with all its columns."""
     found = components(fingerprints(docs, shingle_words, id_col, text_col), max_bits, id_col=id_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return without(docs, found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col)
