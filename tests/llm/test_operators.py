@@ -317,6 +317,26 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
+def test_packing_ids(monkeypatch):
+    """The library's ids of whole texts, also of long runs of one kind of character, cut in slices and forgotten units."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rng = np.random.default_rng(12)
+    pool = [*"ab'stre  \n\t.,1٣é\x85\xa0\u2003\x1c漢😀\u0558", "<|endoftext|>", "   ", "'ll", " \n"]
+    fuzz = ["".join(rng.choice(pool, int(rng.integers(1, 40)))) for _ in range(1500)]
+    whole = lambda x: t.encode(x, add_special_tokens=False).ids
+    e = packing.Encoder(path)
+    for text in [x or "" for x in ODD] + fuzz:
+        assert e.encode(text).tolist() == whole(text), text
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "é " * 700_000, "ab\n\n " * 400_000):
+        assert e.encode(text).tolist() == whole(text)
+    monkeypatch.setattr(packing, "GROUP", 5)
+    monkeypatch.setattr(packing, "MEMO", 3)
+    monkeypatch.setattr(packing, "LONGEST", 2)
+    for text in [x or "" for x in ODD] + fuzz[:300]:
+        assert e.encode(text).tolist() == whole(text), text
+
+
 def test_cuts():
     for n in (1, 2, 7, 8, 9, 16, 17):
         at = packing.cuts(n, 8)
@@ -342,7 +362,7 @@ def test_packing(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ODD + ["word " * k for k in range(0, 2500, 50)] + ["copy of this"] * 40
     docs = documents(spark, texts)
-    got = packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).collect()
+    got = packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -361,4 +381,4 @@ def test_packing(spark):
             at += r["length"]
         assert at <= 1024
     assert len(by_sequence) <= -(-sum(r["length"] for r in got) // 1024) + 2
-    assert packing.pack(packing.pieces(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).count() == 0
+    assert packing.pack(packing.pieces(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0

@@ -8,20 +8,25 @@ plan only. Pieces find their places by their rank among the pieces of their leng
 
 Defined cases: a null text counts as empty and is one piece (the end token); repeated rows are pieces of their own;
 an empty table gives an empty result; documents longer than the capacity are cut so that only the first piece may be
-shorter than the capacity.
+shorter than the capacity; texts of any length, and runs of one character of any length, are encoded as the library
+encodes the whole text; strings of added special tokens inside a text become their ids, as is the library's default.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstore.llm.bpe import WHITE
 from turnstore.llm.common import materialise, text_or_empty
 
 CAPACITY, END_ID = 1024, 2
@@ -31,20 +36,60 @@ BUCKET_ROWS = 20_000
 #: covered loses worth; how far from the best a configuration that is used may be; how much more than its share of a
 #: sequence a long piece is worth, as it is harder to place.
 ROUNDS, STEP, ETA, TOLERANCE, BIAS = 400, 0.5, 0.1, 0.03, 1.0
-SPECIAL = "<|endoftext|>"
 
-_encodings: dict = {}
+#: What a byte-level pre-tokenizer parts without a look further off: a word with the white space before it.
+UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+EDGE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+#: Units that a task remembers, the longest of those, and characters of text that are looked up together.
+MEMO, LONGEST, GROUP = 300_000, 64, 1_000_000
 
 
-def encoding(ranks_path: str, pattern: str):
-    """The byte-level encoder of a rank file; one in each Python worker."""
-    import tiktoken
+class Encoder:
+    """The ids of texts by the tokenizers library, which is asked once for each unit that comes again and again."""
 
-    if ranks_path not in _encodings:
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-    return _encodings[ranks_path]
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.memo: dict[str, list[int]] = {}
+
+    def _known(self, units: list[str]) -> dict[str, list[int]]:
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        new = list({u for u in units if u not in self.memo})
+        found = {u: e.ids for u, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+        self.memo |= {u: ids for u, ids in found.items() if len(u) <= LONGEST}
+        return self.memo if all(len(u) <= LONGEST for u in new) else self.memo | found
+
+    @staticmethod
+    def slices(text: str) -> Iterator[str]:
+        """A text in parts of about GROUP characters, cut before white space."""
+        at = 0
+        while len(text) - at > GROUP and (m := EDGE.search(text, at + GROUP)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def encode(self, text: str) -> np.ndarray:
+        parts = []
+        for part in self.slices(text):
+            units = UNITS.findall(part)
+            known = self._known(units)
+            parts.append(np.fromiter(chain.from_iterable(map(known.__getitem__, units)), np.uint32))
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; one in each Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -52,19 +97,17 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [0, *range((n - 1) % capacity + 1, n, capacity)] if n > capacity else [0]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every whole text, ended by END_ID."""
     fields = f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):
-        enc = encoding(ranks_path, pattern)
+        enc = encoder(path)
         for batch in batches:
             of, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                ids = enc.encode(text, allowed_special={SPECIAL}, disallowed_special=()) if SPECIAL in text else enc.encode_ordinary(text)
-                ids.append(END_ID)
-                data = memoryview(np.array(ids, "<u4")).cast("B")
+                ids = np.append(enc.encode(text.as_py()), np.uint32(END_ID))
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 at = cuts(len(ids), capacity)
                 for p, (a, b) in enumerate(zip(at, [*at[1:], len(ids)])):
                     of.append(k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnstore.llm import bpe, html_text, langid, media, packing, quality_rules, ranker, sharding, simhash, token_counts
 from turnstore.llm.common import held_out, materialise, table
 
-WORD_BPE, PIECES, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
+WORD_BPE, PIECES, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -65,7 +65,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
