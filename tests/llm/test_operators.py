@@ -115,33 +115,77 @@ def slow_measures(text):
 
 def test_quality_measures(spark):
     texts = [*ODD, "a b c d e f g h i " * 4, "a b\na b\n\n \na b", "# $ x\n" * 30, " ".join(f"w{k % 11}" for k in range(50)), " ".join(f"w{k}" for k in range(40))]
-    got = by_id(quality_rules.with_measures(documents(spark, texts)))
+    measured, name = quality_rules.with_measures(documents(spark, texts))
+    got = {r["doc_id"]: r[name] for r in measured.collect()}
     for k, text in enumerate(texts):
         want = slow_measures(text)
         assert tuple(got[k][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, text
         assert got[k]["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
 
 
+def slow_tail(k, n, p):
+    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+    return math.fsum(map(math.exp, log)) if k < p * n else 1.0
+
+
 def test_binomial_tail(spark):
-    cases = [(0, 10, 0.1), (3, 100, 0.05), (30, 7000, 0.005), (2500, 600_000, 0.005), (9, 10, 0.5)]
+    cases = [(0, 10, 0.1), (3, 100, 0.05), (30, 7000, 0.005), (2500, 600_000, 0.005), (199_000, 4_000_000, 0.05), (9, 10, 0.5)]
     for k, n, p in cases:
         got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k), F.lit(n), p).alias("x")).first()["x"]
-        log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        want = math.fsum(map(math.exp, log)) if k < p * n else 1.0
-        assert got == pytest.approx(want, rel=1e-6)
+        assert got == pytest.approx(slow_tail(k, n, p), rel=1e-5)
 
 
 def test_quality_cutoffs(spark):
-    good, bad = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}#" for k in range(50))
-    docs = documents(spark, [good] * 2200 + [bad] * 40 + [None])
-    labels = spark.createDataFrame([(k, int(k < 2200)) for k in range(2240)] + [(5, None), (99999, 0)], "doc_id long, quality int")
-    measured = quality_rules.with_measures(docs)
-    chosen = quality_rules.cutoffs(measured, labels).collect()
-    assert [r["symbols"] for r in chosen] == [800] and chosen[0]["upper"] is None
-    got = quality_rules.judge(measured, quality_rules.cutoffs(measured, labels))
-    assert {r["doc_id"] for r in got.where("not kept").collect()} == {*range(2200, 2241)}
-    few = quality_rules.cutoffs(measured, labels.where("doc_id < 100 or doc_id >= 2200"))
-    assert few.count() == 0 and quality_rules.judge(measured, few).where("not kept").count() == 1
+    """Cutoffs in two strata, each from its own labels; too few labels give none, and nothing is rejected then."""
+    text = lambda n, mark: " ".join(f"w{k}{mark}" for k in range(n))
+    docs = documents(spark, [text(50, "")] * 150 + [text(50, "#")] * 20 + [text(150, "")] * 150 + [text(150, "%")] * 20 + [text(400, "")] * 40 + [text(400, "&")] * 20 + [None, "short"])
+    good = [*range(150), *range(170, 320), *range(340, 380)]
+    labels = spark.createDataFrame([(k, int(k in good)) for k in range(400)] + [(5, None), (99999, 0), (None, 1)], "doc_id long, quality int")
+    measured, name = quality_rules.with_measures(docs)
+    chosen = {r["stratum"]: r for r in quality_rules.cutoffs(measured, name, labels).collect()}
+    assert {k: r["symbols"] for k, r in chosen.items()} == {0: 800, 1: 800} and chosen[0]["upper"] is None
+    judged, kept = quality_rules.judge(measured, name, quality_rules.cutoffs(measured, name, labels))
+    assert {r["doc_id"] for r in judged.where(~F.col(kept)).collect()} == {*range(150, 170), *range(320, 340), 400, 401}
+    few = labels.where("doc_id < 100 or doc_id between 150 and 169")
+    assert quality_rules.cutoffs(measured, name, few).count() == 0
+    assert {r["doc_id"] for r in quality_rules.keep(docs, labels).collect()} == {*range(150), *range(170, 320), *range(340, 402)}
+    assert quality_rules.keep(docs, few).count() == 402 and quality_rules.keep(docs.limit(0), labels).count() == 0
+
+
+def test_quality_price(spark):
+    """A rule that costs a good text for fewer than PRICE bad ones doesn't apply; of two labels the worse counts."""
+    texts = [" ".join(f"w{k}" for k in range(50))] * 400 + [" ".join(f"w{k}#" for k in range(50))] * 9
+    labels = [(k, int(k < 402)) for k in range(409)]
+    docs, frame = documents(spark, texts), lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    measured, name = quality_rules.with_measures(docs)
+    assert quality_rules.cutoffs(measured, name, frame(labels)).count() == 0
+    assert [r["symbols"] for r in quality_rules.cutoffs(measured, name, frame([*labels, (400, 0)])).collect()] == [800]
+
+
+def test_quality_guarantee():
+    """By simulation: cutoffs whose true share of false rejections is above ALPHA pass in fewer than DELTA of all trials."""
+    rng, level, n = np.random.default_rng(17), quality_rules.DELTA / quality_rules.CHAINS, 400
+    passes = np.array([slow_tail(k, n, quality_rules.ALPHA) <= level for k in range(n + 1)])
+    assert passes[0] and (np.diff(passes.astype(int)) <= 0).all()  # more false rejections never pass where fewer fail
+    # the stricter cutoffs of each chain: the most lenient one that is bad has a risk just above ALPHA
+    risks = quality_rules.ALPHA + np.array([0.0005, 0.002, 0.01, 0.05])
+    wrong = 0
+    for _ in range(4000):
+        draws = rng.random((quality_rules.CHAINS, n))
+        wrong += bool(passes[(draws[:, :, None] < risks).sum(1)].any())
+    assert wrong / 4000 <= quality_rules.DELTA + 0.01
+
+
+def test_quality_names(spark):
+    """Extra columns that are called as the measures and the working columns are."""
+    names = ["n_words", "kept", "base_failed", "h", "W", "s", "lines", "measures", "stratum", "of", "cut_symbols", "id", "good", "m", "x.y"]
+    docs = spark.createDataFrame([(k, t, *["mine"] * len(names)) for k, t in enumerate(["a b", None, "c " * 30])], ["doc_id", "text", *names])
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    kept = quality_rules.keep(docs, labels)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {("mine",) * len(names)} and kept.count() == 3
+    measured, name = quality_rules.with_measures(docs)
+    judged, verdict = quality_rules.judge(measured, name, quality_rules.cutoffs(measured, name, labels))
+    assert judged.columns[: len(docs.columns)] == docs.columns and [r[verdict] for r in judged.orderBy("doc_id").collect()] == [False, False, False]
 
 
 def test_ranker(spark):

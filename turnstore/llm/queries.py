@@ -24,10 +24,11 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    measured = materialise(quality_rules.with_measures(docs).drop("text"))
-    chosen = quality_rules.cutoffs(measured, table(spark, sf_dir, "labels"))
-    judged = quality_rules.judge(measured, chosen)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    measured, name = quality_rules.with_measures(docs)
+    measured = materialise(measured.drop("text"))
+    judged, kept = quality_rules.judge(measured, name, quality_rules.cutoffs(measured, name, table(spark, sf_dir, "labels")))
+    m = F.col(name)
+    return judged.select("doc_id", *(m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), F.col(kept).alias("kept"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _op2_sql() -> str:
     q = quality_rules
-    space, tests = r"\x20\x09-\x0D", len(q.STRATA) * sum(map(len, q.RULES.values()))
+    space = r"\x20\x09-\x0D"
     bands = " ".join(f"when n_words >= {least} then {k}" for k, least in reversed([*enumerate(q.STRATA)]))
     grid = ", ".join(f"('{rule}', {c})" for rule, cs in q.RULES.items() for c in cs)
     values = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words", "stale": "n_stale"}
@@ -119,10 +120,10 @@ with w as (
   select stratum, g.rule, cutoff, sum(good)::bigint as n, coalesce(sum(good) filter (value > cutoff), 0)::bigint as k, coalesce(sum(1 - good) filter (value > cutoff), 0)::bigint as bad
   from lab join (values {grid}) g(rule, cutoff) on g.rule = lab.rule group by all
 ), safe as (
-  select * from tried where bad > 0 and n > 0 and k < {q.ALPHA} * n
-    and list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA}) + (n - i) * ln(1 - {q.ALPHA})))) <= {q.DELTA} / {tests}
+  select * from tried where bad > {q.PRICE} * k and n > 0 and k < {q.ALPHA} * n
+    and list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA}) + (n - i) * ln(1 - {q.ALPHA})))) <= {q.DELTA} / {q.CHAINS}
 ), best as (
-  select stratum, rule, cutoff from safe qualify row_number() over (partition by stratum, rule order by bad desc, cutoff desc) = 1
+  select stratum, rule, cutoff from safe qualify row_number() over (partition by stratum, rule order by bad - {q.PRICE} * k desc, cutoff desc) = 1
 ), over_ as (
   select distinct v.doc_id from v join best on best.stratum = v.stratum and best.rule = v.rule where v.value > best.cutoff
 )
