@@ -5,7 +5,8 @@ directions and labels every position; a document's probabilities are the mean ov
 that belong to letters. Windows have a fixed length, so memory doesn't depend on the length of texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; if no row has a language to learn from,
-all are; repeated rows get equal predictions; the input's other columns don't matter and are dropped.
+all are; repeated rows get equal predictions; an empty table gives an empty result; the input's other columns don't
+matter: `predict` drops them, `with_language` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstore.llm.common import held_out, share_of
+from turnstore.llm.common import held_out, share_of, unused
 
-#: Most rows that the network learns from, and characters of each that it sees, from a place that the id decides.
+#: Most rows that the network learns from, and the length of the stretch of each that goes to the driver. Training reads
+#: windows of TRAIN_WINDOW bytes, so a stretch from anywhere in the whole text (its id decides where) serves as well as all.
 SAMPLE, SAMPLE_CHARS = 4000, 160
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 128, 64
 #: Windows that are read together.
@@ -220,8 +222,9 @@ def read_texts(net: dict, texts: list[str]) -> np.ndarray:
     return sums / np.maximum(counts, 1)[:, None]
 
 
-def predict(docs: DataFrame, net: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id_col, lang_pred and score of every whole text; with keep, the input's columns too. Narrow, no shuffle."""
+def with_language(docs: DataFrame, net: dict | None, text_col: str = "text") -> tuple[DataFrame, str]:
+    """The rows with a struct of lang_pred and score of every whole text, and that column's name; narrow, no shuffle."""
+
     @F.arrow_udf("struct<lang_pred string, score double>")
     def labelled(texts: pa.Array) -> pa.Array:
         texts = texts.to_pylist()
@@ -233,6 +236,11 @@ def predict(docs: DataFrame, net: dict | None, id_col: str = "doc_id", text_col:
                 langs[k], scores[k] = net["names"][best], s
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    rows = docs if keep else docs.select(id_col, text_col)
-    out = rows.withColumn("_labelled", labelled(F.col(text_col)))
-    return out.select(*(docs.columns if keep else [id_col]), F.col("_labelled.lang_pred").alias("lang_pred" if not keep else "_lang_pred"), F.col("_labelled.score").alias("score" if not keep else "_score"))
+    (name,) = unused(docs, "labelled")
+    return docs.withColumn(name, labelled(F.col(text_col))), name
+
+
+def predict(docs: DataFrame, net: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, lang_pred and score of every whole text."""
+    found, name = with_language(docs.select(id_col, text_col), net, text_col)
+    return found.select(id_col, F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"))

@@ -8,8 +8,9 @@ the share of bad ones among them, and strengths are moved so that it lies at THR
 Measures are SQL functions; the driver sees the measures of at most SAMPLE labelled documents, a few numbers each.
 
 Defined cases: null and empty texts have measures of zero and get a score as any other; without a good and a bad
-labelled document every score is 0.5; of contradictory labels of one document the worse counts; repeated rows get
-equal scores; the input's other columns stay.
+labelled document every score is 0.5; of contradictory labels of one document the worse counts; repeated rows
+get equal scores; an empty table gives an empty result; the input's other columns stay, but columns called score or
+predicted are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstore.llm.common import SPACE_CLASS, held_out, share_of, text_or_empty
+from turnstore.llm.common import SPACE_CLASS, every, held_out, share_of, text_or_empty, unused
 
 #: Most labelled documents that the ranking is learned from, and most preference pairs.
 SAMPLE, PAIRS = 20_000, 100_000
@@ -29,36 +30,33 @@ THRESHOLD = 0.3
 RIDGE = 1e-3
 
 
-def measures(text_col: str = "text") -> list[Column]:
-    """Numbers of a whole text, none of which grows with its length without bound."""
+def features(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """The rows with the array of measures of each whole text, none of which grows with its length without bound, and that column's name."""
+    own = every(docs)
     text = text_or_empty(F.col(text_col))
     words = F.array_remove(F.split(F.lower(text), f"[{SPACE_CLASS}]+"), "")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     per = lambda a, b: a / F.greatest(b, F.lit(1))
-    n, letters, marks = F.col("_n"), F.col("_letters"), F.col("_marks")
-    stale = per(n - F.col("_distinct"), n)
     parts = {
-        "_n": F.size(words),
-        "_distinct": F.size(F.array_distinct(words)),
-        "_letters": count(r"\p{L}"),
-        "_upper": count(r"\p{Lu}"),
-        "_marks": count("[#*$%&|<>]"),
-        "_loud": count("!"),
-        "_digits": count("[0-9]"),
-        "_stops": count("[.,;:?]"),
+        "n": F.size(words),
+        "distinct": F.size(F.array_distinct(words)),
+        "letters": count(r"\p{L}"),
+        "upper": count(r"\p{Lu}"),
+        "marks": count("[#*$%&|<>]"),
+        "loud": count("!"),
+        "digits": count("[0-9]"),
+        "stops": count("[.,;:?]"),
     }
+    *names, out = unused(docs, *parts, "x")
+    n, distinct, letters, upper, marks, loud, digits, stops = map(F.col, names)
+    stale = per(n - distinct, n)
     rates = [
-        per(marks, n), F.least(per(marks, n) * 5, F.lit(1.0)), per(F.col("_upper"), letters), (per(F.col("_upper"), letters) > 0.5).cast("double"),
-        F.least(per(F.col("_loud"), n), F.lit(2.0)), per(F.col("_digits"), n), F.least(per(F.col("_stops"), n), F.lit(2.0)),
+        per(marks, n), F.least(per(marks, n) * 5, F.lit(1.0)), per(upper, letters), (per(upper, letters) > 0.5).cast("double"),
+        F.least(per(loud, n), F.lit(2.0)), per(digits, n), F.least(per(stops, n), F.lit(2.0)),
         stale, F.pow(stale, F.lit(4)), F.log1p(n) / 10, stale * F.log1p(n) / 10, per(letters, n) / 10,
     ]
-    return [parts, rates]
-
-
-def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add `_x`, the array of measures."""
-    parts, rates = measures(text_col)
-    return docs.withColumns(parts).withColumn("_x", F.array(*(r.cast("double") for r in rates))).drop(*parts)
+    counted = docs.withColumns(dict(zip(names, parts.values())))
+    return counted.select(*own, F.array(*(r.cast("double") for r in rates)).alias(out)), out
 
 
 def learn(x: np.ndarray, good: np.ndarray, seed: int = 7) -> dict:
@@ -86,19 +84,22 @@ def learn(x: np.ndarray, good: np.ndarray, seed: int = 7) -> dict:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Learn from labelled rows outside the held-out fold, the SAMPLE of least hash if there are more."""
-    known = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("_good"))
-    known = known.where(~held_out(F.col(id_col)))
-    chosen = known.where(share_of(F.xxhash64(id_col, F.lit("share")), SAMPLE, known.count())).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    known = labels.where("quality is not null").groupBy(F.col(id_col).alias("known")).agg(F.min("quality").alias("good"))
+    known = known.where(~held_out(F.col("known")))
+    chosen = known.where(share_of(F.xxhash64("known", F.lit("share")), SAMPLE, known.count())).orderBy(F.xxhash64("known"), "known").limit(SAMPLE)
     # bounded: SAMPLE ids
-    rows = with_features(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col).select(id_col, "_x", "_good")
-    rows = sorted(rows.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).collect(), key=lambda r: (r[0], r[1]))
-    return learn(np.array([r["_x"] for r in rows]), np.array([r["_good"] > 0 for r in rows], bool))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("known"))
+    rows, x = features(texts)
+    rows = rows.select("id", F.col(x).alias("x"), "good").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    return learn(np.array([r["x"] for r in rows]), np.array([r["good"] > 0 for r in rows], bool))
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """Add score (0 to 1) and predicted (1 from THRESHOLD on)."""
+    df, x = features(docs, text_col)
     strength = F.lit(float(model["shift"]))
     for k, (m, w) in enumerate(zip(model["mean"].tolist(), model["weights"].tolist())):
-        strength = strength + (F.col("_x")[k] - m) * w
-    df = with_features(docs, text_col).withColumn("score", 1 / (1 + F.exp(-strength)))
-    return df.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("_x")
+        strength = strength + (F.col(x)[k] - m) * w
+    df = df.withColumn("score", 1 / (1 + F.exp(-strength)))
+    return df.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop(x)

@@ -5,7 +5,8 @@ character, and so a text may be split before any run of spaces: no piece ever sp
 are split there; the fragments that the task doesn't know yet go to the library in batches of about equal bytes.
 
 Defined cases: a null text counts as empty, with no tokens; control strings such as `<s>` inside texts are ordinary
-text, as is the library's default; repeated rows get equal counts; other columns pass through untouched.
+text, as is the library's default; repeated rows get equal counts; an empty table gives an empty result; other columns
+pass through untouched, but columns called n_bytes, n_tokens or over_limit are replaced.
 """
 
 from __future__ import annotations
