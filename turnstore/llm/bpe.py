@@ -7,7 +7,9 @@ fragments are encoded one by one and concatenated. Fragments repeat, so each tas
 
 Defined cases: a null text counts as empty and has no tokens; strings of added special tokens inside a text become
 their ids, as the library does by default; texts of any length are walked in one pass with memory in proportion to
-the text; repeated rows get equal values; columns other than the two that are named are dropped.
+the text; a unit with a code point that this Python's Unicode tables don't know goes to the library as a whole, whose
+tables may be others; repeated rows get equal values; an empty table gives an empty result; columns other than the two
+that are named are dropped.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +39,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 #: Entries that a task's memo of units may hold before it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 #: Characters of text whose units are encoded together; longer texts are walked in slices of this size.
 GROUP = 2_000_000
 #: Fragments of more symbols are merged with a heap, in n log n steps.
@@ -43,6 +47,15 @@ HEAP_FROM = 64
 NONE = np.int64(1) << 30
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Code points that this Python's Unicode tables have no entry for; the tables of other libraries may be older or newer."""
+    points = [x for x in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(x)) == "Cn"]
+    starts = [x for x, before in zip(points, [-1, *points]) if x != before + 1]
+    ends = [x for x, after in zip(points, [*points[1:], -1]) if x != after - 1]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends)) + "]")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -76,9 +89,12 @@ class Encoder:
         self.last = np.array([self.vocab[s + self.suffix] for s in symbols], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        self._index(np.array([self.vocab[a] << 16 | self.vocab[b] for a, b in pairs], np.int64))
+        keys = [self.vocab[a] << 16 | self.vocab[b] for a, b in pairs]
+        self.rank = dict(zip(keys, range(len(keys))))
+        self._index(np.array(keys, np.int64))
         self._cuts(symbols)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.path, self.library = path, None
 
     def _index(self, keys: np.ndarray) -> None:
         """A hash table with linear probing, from the two ids of a merge to its rank."""
@@ -140,13 +156,16 @@ class Encoder:
 
     def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
         """The ids of each unit: cut its words at forced boundaries, merge inside all fragments at once."""
-        words, of = [], []
+        words, of, odd = [], [], {}
         for k, unit in enumerate(units):
+            if not unit.isascii() and unassigned().search(unit):
+                odd[k] = self.by_library(unit)
+                continue
             found = self.words(unit)
             words += [w.encode("utf-8") for w in found]
             of += [k] * len(found)
         if not words:
-            return [()] * len(units)
+            return [odd.get(k, ()) for k in range(len(units))]
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         final = np.zeros(len(data), bool)
@@ -163,15 +182,25 @@ class Encoder:
         unit = np.asarray(of, np.int64)[word][fragment]
         bounds = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
         flat = ids.tolist()
-        return [tuple(flat[bounds[k] : bounds[k + 1]]) for k in range(len(units))]
+        return [odd[k] if k in odd else tuple(flat[bounds[k] : bounds[k + 1]]) for k in range(len(units))]
+
+    def by_library(self, unit: str) -> tuple[int, ...]:
+        """The ids of a unit with code points that Python's tables don't know and the library's may."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return tuple(self.library.encode(unit, add_special_tokens=False).ids)
 
     def merge_all(self, ids: np.ndarray, fragment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """In every fragment, the merge of lowest rank, leftmost first, until none is left; one a round in each."""
         done_ids, done_of = [], []
         long_ = np.bincount(fragment)[fragment] > HEAP_FROM
         if long_.any():
-            for k in np.unique(fragment[long_]).tolist():
-                made = self.merge_one(ids[fragment == k].tolist())
+            many = np.unique(fragment[long_])
+            bounds = zip(many.tolist(), np.searchsorted(fragment, many).tolist(), np.searchsorted(fragment, many, side="right").tolist())
+            for k, start, end in bounds:
+                made = self.merge_one(ids[start:end].tolist())
                 done_ids.append(np.array(made, np.int64))
                 done_of.append(np.full(len(made), k))
             ids, fragment = ids[~long_], fragment[~long_]
@@ -213,11 +242,10 @@ class Encoder:
 
     def merge_one(self, ids: list[int]) -> list[int]:
         """The same for one long fragment, with a heap of the pairs that can be merged."""
-        n, made = len(ids), self.made
+        n, made, rank = len(ids), self.made, self.rank
 
         def push(i: int, j: int) -> None:
-            r = int(self.ranks(np.array([ids[i]]), np.array([ids[j]]))[0])
-            if r < NONE:
+            if (r := rank.get(ids[i] << 16 | ids[j])) is not None:
                 heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         after, before, known = [*range(1, n + 1)], [*range(-1, n - 1)], np.array(ids)
