@@ -5,10 +5,16 @@ written and trained in numpy, reads for each block a vector of its tag path, a v
 numbers, and labels it as main text or not, with the whole page as context. It learns from pages that `sample_page`
 makes up: articles under many layouts, with menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
-Defined cases: null or empty html, and pages without a main block, give the empty string; unclosed elements end where
-their parent does, an unclosed head or title at the first tag (for a head: or text) that can't be inside a head, and
-unclosed comments, scripts and styles run to the end of the page; pages of any length are read
-whole (one page at a time if they are long); repeated rows get equal texts; other columns than those named are dropped.
+Never part of a text: the content of head, title, script, style, template and iframe, and form controls (textarea,
+select, option, button), which count as forms. All other elements' text is read; formulas and drawings (math, svg) don't
+break the block that they are in.
+
+Defined cases: null or empty html, an empty table, and pages without a main block, give the empty string or no rows;
+unclosed elements end where their parent does, an unclosed head or title at the first tag (for a head: or text) that
+can't be inside a head, and unclosed comments, scripts and styles run to the end of the page; pages of any length and
+elements nested to any depth are read whole, in memory in proportion to the page (one page at a time if they are long);
+a page's text depends on the page only, so repeated rows get equal texts; columns called text or n_chars are replaced,
+all others stay.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that don't break a block, elements without content, and elements whose content is no text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark math noscript object q s samp small span strike strong sub sup svg time tt u var video wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head title script style noscript template svg math iframe object canvas textarea select option button audio video".split())
+DROPPED = frozenset("head title script style template iframe textarea select option button".split())
+#: Elements inside which no tag breaks a block.
+DRAWN = ("math", "svg")
 #: Start tags that don't end an open head.
 IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 #: An open element of these is ended by another one of the same name in the same parent.
@@ -35,7 +45,7 @@ BREAKS_P = frozenset("address article aside blockquote details dl div fieldset f
 
 TOKEN = re.compile(
     # a title that has its end tag holds no tags
-    r"<!--.*?(?:-->|\Z)|(?P<title><title(?:\s[^>]*+)?+(?<!/)>[^<]*+(?:<(?!/?(?:title|head|body)\b)[^<]*+)*+</title\s*>)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?>[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|(?P<title><title(?:\s[^>]*+)?+(?<!/)>[^<]*+(?:<(?!/?(?:title|head|body)\b)[^<]*+)*+</title\s*>)|<(?P<raw>script|style|template|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?>[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -51,6 +61,20 @@ def slot(name: str, dim: int) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % dim
 
 
+class Block(NamedTuple):
+    text: str
+    #: How often each slot of the tag path is there, two at most; shared by the blocks of an element.
+    path: np.ndarray
+    #: Characters inside links.
+    linked: int
+
+
+class Element(NamedTuple):
+    tag: str
+    breaks: bool
+    path: np.ndarray
+
+
 class Parser:
     """Blocks of pages; remembers the slots of words and attributes that it has met, up to a bound."""
 
@@ -71,36 +95,39 @@ class Parser:
                 self.tags[key] = out
         return out
 
-    def blocks(self, page: str) -> list[tuple[str, list[int], int, int]]:
-        """Text, slots of the tag path, characters inside links, and tag of every leaf block, in page order."""
-        out: list[tuple[str, list[int], int, int]] = []
-        stack: list[tuple[str, list[int]]] = []
+    def blocks(self, page: str) -> list[Block]:
+        """The leaf blocks in page order; each step looks at the places of a few open elements only."""
+        out: list[Block] = []
+        stack = [Element("", True, np.zeros(PATH_DIM, np.uint8))]
+        places: dict[str, list[int]] = {}  # of the open elements of each name, outermost first
         parts: list[str] = []
-        linked = hidden = links = at = 0
+        linked = hidden = at = 0
+
+        def innermost(*tags: str) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
         def end() -> None:
             nonlocal linked
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text:
-                    inner = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                    out.append((text, [s for t, p in stack if t not in INLINE for s in p], linked, slot(inner, 4096)))
+                    out.append(Block(text, stack[-1].path, linked))
                 parts.clear()
             linked = 0
 
         def close(k: int) -> None:
             """End the elements from the k-th on."""
-            nonlocal hidden, links
-            if any(t not in INLINE for t, _ in stack[k:]):
+            nonlocal hidden
+            if any(e.breaks for e in stack[k:]):
                 end()
-            for t, _ in stack[k:]:
-                hidden -= t in DROPPED
-                links -= t == "a"
+            for e in stack[k:]:
+                hidden -= e.tag in DROPPED
+                places[e.tag].pop()
             del stack[k:]
 
         def words_in_head(a: int, b: int) -> None:
             """End an open head before text from a to b that lies in none of its elements."""
-            if hidden and stack[-1][0] == "head" and page[a:b].strip(" \t\n\f\r"):
+            if hidden and stack[-1].tag == "head" and page[a:b].strip(" \t\n\f\r"):
                 close(len(stack) - 1)
 
         for m in TOKEN.finditer(page):
@@ -109,7 +136,7 @@ class Parser:
                 if not hidden:
                     text = page[at : m.start()]
                     parts.append(text)
-                    if links:
+                    if places.get("a"):
                         linked += len(text)
             at = m.end()
             if not m["tag"]:
@@ -117,41 +144,44 @@ class Parser:
                     end()
                 continue
             tag = m["tag"].lower()
+            breaks = tag not in INLINE and not innermost(*DRAWN)
             if m["end"]:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if k is not None:
+                if k := innermost(tag):
                     close(k)
-                elif tag not in INLINE:
+                elif breaks:
                     end()
                 continue
-            if hidden and tag not in IN_HEAD and (k := next((i for i, (t, _) in enumerate(stack) if t in ("head", "title")), None)) is not None:
+            if hidden and tag not in IN_HEAD and (k := min((places[t][0] for t in ("head", "title") if places.get(t)), default=0)):
                 close(k)
             if tag == "br":
                 parts.append(" ")
                 continue
-            if tag not in INLINE:
+            if breaks:
                 end()
-                if tag in BREAKS_P and (k := next((i for i, (t, _) in enumerate(stack) if t == "p"), None)) is not None:
+                if tag in BREAKS_P and (k := innermost("p")):
+                    close(k)
+                if tag in SIBLINGS and (k := innermost(tag)) and k > innermost(*PARENTS):
                     close(k)
-                if tag in SIBLINGS:
-                    k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, *PARENTS)), None)
-                    if k is not None and stack[k][0] == tag:
-                        close(k)
             if tag not in VOID and not m["attributes"].endswith("/"):
-                stack.append((tag, self.path_slots(tag, m["attributes"])))
+                path = stack[-1].path
+                if breaks:
+                    path = path.copy()
+                    for x in self.path_slots(tag, m["attributes"]):
+                        path[x] = min(2, path[x] + 1)
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(Element(tag, breaks, path))
                 hidden += tag in DROPPED
-                links += tag == "a"
         words_in_head(at, len(page))
         if at < len(page) and not hidden:
             parts.append(page[at:])
         end()
         return out
 
-    def vectors(self, blocks: list[tuple[str, list[int], int, int]]) -> np.ndarray:
+    def vectors(self, blocks: list[Block]) -> np.ndarray:
         x = np.zeros((len(blocks), DIM), np.float32)
         words, n = self.words, len(blocks)
-        for k, (text, path, linked, _) in enumerate(blocks):
-            np.add.at(x[k], path, 1.0)
+        for k, (text, path, linked) in enumerate(blocks):
+            x[k, :PATH_DIM] = path
             slots = []
             for w in text.split(" "):
                 if (s := words.get(w)) is None:
@@ -163,7 +193,6 @@ class Parser:
             x[k, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.sqrt((counts * counts).sum())
             size = len(text)
             x[k, -NUMBERS:] = (np.log1p(size) / 6, min(1.0, linked / size), min(1.0, 8 * sum(map(text.count, ".,;")) / size), len(slots) < 4, text[-1] in ".!?", k / n, 1 - k / n, min(n, 50) / 50)
-        np.minimum(x[:, :PATH_DIM], 2, out=x[:, :PATH_DIM])
         return x
 
 
@@ -275,10 +304,11 @@ def sample_page(rng: np.random.Generator) -> list[tuple[str, bool]]:
             body.append((f"<h2>{words(1, 6)}</h2>", True))
         elif r < 0.82:
             body.append((f"<blockquote>{prose()}</blockquote>", True))
-        elif r < 0.88:
+        elif r < 0.87:
             body.append(("<ul>" + "".join(f"<li>{words(2, 12)}</li>" for _ in range(int(rng.integers(1, 5)))) + "</ul>", True))
-        elif r < 0.91:
-            body.append((f"<p>{words(1, 3)}.</p>", True))
+        elif r < 0.92:
+            odd = pick(f"{words(1, 3)}.", words(1, 3), f"{words(1, 2).upper()}!!", " | ".join(word() for _ in range(int(rng.integers(2, 12)))), small())
+            body += [(f"<p>{odd}</p>", True)] * pick(1, 1, 1, int(rng.integers(2, 30)))
         elif r < 0.94:
             body.append((f"<pre>{prose()}</pre>", True))
         else:
@@ -295,8 +325,8 @@ def sample_sequence(rng: np.random.Generator, parser: Parser) -> tuple[np.ndarra
     """Vectors and labels of the blocks of an invented page; main text carries a mark that is taken out again."""
     page = "".join(re.sub(r">(?=[^<\s])", ">\x01", x) if main else x for x, main in sample_page(rng))
     blocks = parser.blocks(page)
-    y = np.array(["\x01" in b[0] for b in blocks], np.float32)
-    return parser.vectors([(b[0].replace("\x01", "") or "-", *b[1:]) for b in blocks]), y
+    y = np.array(["\x01" in b.text for b in blocks], np.float32)
+    return parser.vectors([b._replace(text=b.text.replace("\x01", "") or "-") for b in blocks]), y
 
 
 def train(pages: int = 1500, epochs: int = 3, batch: int = 24, seed: int = 5) -> dict:
@@ -334,6 +364,12 @@ def train(pages: int = 1500, epochs: int = 3, batch: int = 24, seed: int = 5) ->
     return w
 
 
+@cache
+def model() -> dict:
+    """The weights of train(), which are the same whenever it runs; trained once in a process."""
+    return train()
+
+
 def padded(data: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequences side by side (step, page); the shorter ones end in zeros, which `on` marks."""
     longest = max(len(y) for _, y in data)
@@ -357,7 +393,7 @@ def main_texts(w: dict, parser: Parser, pages: list[str]) -> list[str]:
         x, _, _ = padded([(parser.vectors(found[k]), np.zeros(len(found[k]), np.float32)) for k in group])
         p, _ = label(w, x)
         for column, k in enumerate(group):
-            out[k] = "\n".join([b[0] for b, on in zip(found[k], (p[:, column] >= 0.5).tolist()) if on])
+            out[k] = "\n".join([b.text for b, on in zip(found[k], (p[:, column] >= 0.5).tolist()) if on])
         at = end
     return out
 
@@ -380,6 +416,6 @@ def main_text(w: dict):
 
 
 def extract(pages: DataFrame, w: dict | None = None, html_col: str = "html") -> DataFrame:
-    """Add text and n_chars; narrow, no shuffle. w: weights of train(), else trained now."""
-    df = pages.withColumn("text", main_text(w or train())(F.col(html_col)))
+    """Add text and n_chars; narrow, no shuffle. w: weights of train(), else those of model()."""
+    df = pages.withColumn("text", main_text(w or model())(F.col(html_col)))
     return df.withColumn("n_chars", F.length("text").cast("long"))
