@@ -11,6 +11,8 @@ matter: `predict` drops them, `with_language` keeps them as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -24,7 +26,7 @@ from turnstore.llm.common import held_out, share_of, unused
 SAMPLE, SAMPLE_CHARS = 4000, 160
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 128, 64
 #: Windows that are read together.
-GROUP = 2048
+GROUP = 1024
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes that belong to letters: a-z after lowering, and all of multi-byte characters.
@@ -189,10 +191,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([r["t"] for r in rows], [r["l"] for r in rows]) if rows else None
 
 
-def read_texts(net: dict, texts: list[str]) -> np.ndarray:
+def read_texts(net: dict, texts: Iterable[str]) -> np.ndarray:
     """The pooled probabilities of texts; each text's windows follow one another, the last one padded with zeros."""
-    data = [t.lower().encode("utf-8") for t in texts]
-    sums, counts = np.zeros((len(texts), len(net["names"]))), np.zeros(len(texts))
+    sums, counts = [], []
     pending: list[tuple[int, np.ndarray]] = []
     held = 0
 
@@ -207,19 +208,27 @@ def read_texts(net: dict, texts: list[str]) -> np.ndarray:
         on = IS_LETTER[windows.T]
         p = read_windows(net, windows)
         p *= on
-        np.add.at(sums, of, p.sum(1).T)
-        np.add.at(counts, of, on.sum(0))
-
-    for k, text in enumerate(data):
-        for at in range(0, len(text), WINDOW * GROUP):
-            part = text[at : at + WINDOW * GROUP]
+        first, last = int(of[0]), int(of[-1]) + 1
+        summed, counted = np.zeros((last - first, len(net["names"]))), np.zeros(last - first)
+        np.add.at(summed, of - first, p.sum(1).T)
+        np.add.at(counted, of - first, on.sum(0))
+        for k in range(first, last):
+            sums[k] += summed[k - first]
+            counts[k] += counted[k - first]
+
+    for k, text in enumerate(texts):
+        data = text.lower().encode("utf-8")
+        sums.append(np.zeros(len(net["names"])))
+        counts.append(0.0)
+        for at in range(0, len(data), WINDOW * GROUP):
+            part = data[at : at + WINDOW * GROUP]
             windows = np.frombuffer(part + bytes(-len(part) % WINDOW), np.uint8).reshape(-1, WINDOW)
             pending.append((k, windows))
             held += len(windows)
             if held >= GROUP:
                 flush()
     flush()
-    return sums / np.maximum(counts, 1)[:, None]
+    return np.array(sums).reshape(len(sums), -1) / np.maximum(counts, 1)[:, None]
 
 
 def with_language(docs: DataFrame, net: dict | None, text_col: str = "text") -> tuple[DataFrame, str]:
@@ -227,11 +236,11 @@ def with_language(docs: DataFrame, net: dict | None, text_col: str = "text") ->
 
     @F.arrow_udf("struct<lang_pred string, score double>")
     def labelled(texts: pa.Array) -> pa.Array:
-        texts = texts.to_pylist()
-        known = [k for k, t in enumerate(texts) if net and t and LETTER.search(t)]
+        # one text of the batch at a time is a Python string
+        known = [k for k, t in enumerate(texts) if net and (t := t.as_py()) and LETTER.search(t)]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if known:
-            p = read_texts(net, [texts[k] for k in known])
+            p = read_texts(net, (texts[k].as_py() for k in known))
             for k, best, s in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
                 langs[k], scores[k] = net["names"][best], s
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])

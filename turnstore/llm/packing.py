@@ -41,7 +41,7 @@ ROUNDS, STEP, ETA, TOLERANCE, BIAS = 400, 0.5, 0.1, 0.03, 1.0
 UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 EDGE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 #: Units that a task remembers, the longest of those, and characters of text that are looked up together.
-MEMO, LONGEST, GROUP = 300_000, 64, 1_000_000
+MEMO, LONGEST, GROUP = 100_000, 32, 500_000
 
 
 class Encoder:
