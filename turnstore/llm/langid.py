@@ -237,7 +237,7 @@ def with_language(docs: DataFrame, net: dict | None, text_col: str = "text") ->
     @F.arrow_udf("struct<lang_pred string, score double>")
     def labelled(texts: pa.Array) -> pa.Array:
         # one text of the batch at a time is a Python string
-        known = [k for k, t in enumerate(texts) if net and (t := t.as_py()) and LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if net and t.is_valid and LETTER.search(t.as_py())]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if known:
             p = read_texts(net, (texts[k].as_py() for k in known))
