@@ -16,16 +16,25 @@ def test_parse_where():
             parse_where(bad)
 
 
-def test_store(spark, tmp_path):
+def test_hash_embedder():
+    e = HashEmbedder(64)
+    a, b, c, d = e.embed(["the old well", "the old wall", "xyz 123", ""])
+    assert np.allclose(np.linalg.norm([a, b, c, d], axis=1), 1, atol=1e-6) and a @ b > 0.4 > a @ c
+    assert (e.embed(["the old well"])[0] == a).all() and abs(HashEmbedder(64, seed=1).embed(["the old well"])[0] @ a) < 0.9
+
+
+def test_store(spark, tmp_path, monkeypatch):
     e = HashEmbedder(16)
     store = vectors.VectorStore(spark, str(tmp_path / "v"), e)
+    ids = lambda where: sorted(r["id"] for r in store.list_ids(where).collect())
     assert len(store) == 0
+    store.upsert([])
     store.upsert([{"id": f"d{k}", "text": f"text {k % 5}", "metadata": {"project": f"p{k % 2}", "sqlite_id": k, "obs_type": "o" if k % 3 else "", "n": k}} for k in range(10)] + [{"id": "d3", "text": "again", "metadata": {"project": "p9"}}])
-    assert len(store) == 10 and store.list_ids({"project": "p9"}) == ["d3"]
-    assert store.list_ids({"sqlite_id": "4"}) == [] and store.list_ids({"sqlite_id": 4.0}) == ["d4"] and store.list_ids({"n": 4}) == ["d4"] and store.list_ids({"n": "4"}) == []
-    assert store.list_ids({"$and": [{"project": "p0"}, {"obs_type": ""}]}) == ["d0", "d6"]
+    assert len(store) == 10 and ids({"project": "p9"}) == ["d3"]
+    assert ids({"sqlite_id": "4"}) == [] and ids({"sqlite_id": 4.0}) == ["d4"] and ids({"n": 4}) == ["d4"] and ids({"n": "4"}) == []
+    assert ids({"$and": [{"project": "p0"}, {"obs_type": ""}]}) == ["d0", "d6"]
     store.update_metadata(["d3", "nobody"], {"doc_type": "t", "obs_type": "z"})
-    assert store.list_ids({"obs_type": "z"}) == ["d3"]
+    assert ids({"obs_type": "z"}) == ["d3"]
     store.delete(["d0", "nobody"])
     rows = store.query("text 1", 3).collect()
     assert [r["id"] for r in rows][:2] == ["d1", "d6"] and abs(rows[0]["distance"]) < 1e-6 and rows[0]["metadata"]["project"] == '"p1"'
@@ -34,6 +43,12 @@ def test_store(spark, tmp_path):
     assert len(again) == 9
     with pytest.raises(RuntimeError):
         vectors.VectorStore(spark, str(tmp_path / "v"), HashEmbedder(8))
+    again.embedder = HashEmbedder(8)
+    with pytest.raises(ValueError):
+        again.upsert([{"id": "x", "text": "y"}])
+    monkeypatch.setattr(vectors, "FORMAT_VERSION", 2)
+    with pytest.raises(RuntimeError):
+        vectors.VectorStore(spark, str(tmp_path / "v"), e)
 
 
 def test_top_k(spark):

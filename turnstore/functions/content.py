@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Levels of tool results inside tool results that are flattened; logs have one.
-DEPTH = 3
-
 
 def text_at(v: Column, path: str) -> Column:
     """The string at a path; null if there is none or it is of another type."""
@@ -24,17 +21,24 @@ def blocks_of(content: Column) -> Column:
     return content.try_cast("array<variant>")
 
 
-def flatten_content(content: Column, depth: int = DEPTH) -> Column:
-    """Plain text of a message's content: strings as they are, the non-empty texts of blocks joined by newlines."""
+def flatten_content(content: Column) -> Column:
+    """Plain text of a message's content: strings as they are, the non-empty texts of blocks joined by newlines.
+
+    A tool result that holds blocks is replaced by them, level by level, as often as its JSON names tool results: that
+    is at least as deep as they are nested.
+    """
+    kind = lambda block: text_at(block, "$.type")
+    inner = lambda block: F.try_variant_get(block, "$.content", "variant")
+    opened = lambda block: F.coalesce(F.when(kind(block) == "tool_result", blocks_of(inner(block))), F.array(block))
+    levels = F.array_repeat(F.lit(0), F.coalesce(F.regexp_count(F.to_json(content), F.lit('"tool_result"')), F.lit(0)))
+    blocks = F.aggregate(levels, blocks_of(content), lambda found, _: F.flatten(F.transform(found, opened)))
 
     def text_of(block: Column) -> Column:
-        kind = text_at(block, "$.type")
-        inner = flatten_content(F.try_variant_get(block, "$.content", "variant"), depth - 1) if depth else F.lit("")
-        return F.coalesce(F.when(kind == "text", text_at(block, "$.text")).when(kind == "thinking", text_at(block, "$.thinking")).when(kind == "tool_result", inner), F.lit(""))
+        is_ = kind(block)
+        return F.coalesce(F.when(is_ == "text", text_at(block, "$.text")).when(is_ == "thinking", text_at(block, "$.thinking")).when(is_ == "tool_result", text_at(block, "$.content")), F.lit(""))
 
-    parts = F.filter(F.transform(blocks_of(content), text_of), lambda t: t != "")
-    plain = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
-    return F.coalesce(F.array_join(parts, "\n"), plain, F.lit(""))
+    parts = F.filter(F.transform(blocks, text_of), lambda t: t != "")
+    return F.coalesce(F.array_join(parts, "\n"), text_at(content, "$"), F.lit(""))
 
 
 def parse_timestamp(v: Column, path: str = "$.timestamp") -> Column:
@@ -47,8 +51,12 @@ def parse_timestamp(v: Column, path: str = "$.timestamp") -> Column:
 
 
 def truth(v: Column, path: str) -> Column:
-    """Whether the value at a path is there and not false, null, zero or empty."""
-    return F.coalesce(~F.try_variant_get(v, path, "string").isin("false", "0", "0.0", "", "null", "[]", "{}"), F.lit(False))
+    """Whether the value at a path is there and not false, null, zero or empty; every string but the empty one is true."""
+    found = F.try_variant_get(v, path, "variant")
+    kind = F.schema_of_variant(found)
+    plain = F.when(kind == "STRING", F.try_variant_get(v, path, "string") != "").when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+    plain = plain.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), ~F.to_json(found).isin("{}", "[]"))
+    return F.coalesce(plain.otherwise(F.try_variant_get(v, path, "double") != 0), F.lit(False))
 
 
 def json_text(v: Column) -> Column:

@@ -17,17 +17,14 @@ def is_message() -> Column:
     return F.coalesce(F.col("type").isin(MESSAGE_TYPES), F.lit(False))
 
 
-def messages(records: DataFrame) -> DataFrame:
-    """One row for each message record, in the columns of schemas.MESSAGES; seq is dense in each session."""
+def message_columns() -> list[Column]:
+    """The columns of schemas.MESSAGES that a record gives by itself, but session_id and seq."""
     r, content = F.col("record"), F.try_variant_get("record", "$.message.content", "variant")
     text = lambda path: F.coalesce(text_at(r, path), F.lit(""))
-    order = Window.partitionBy("session_id").orderBy("line_no")
-    return records.where(is_message()).select(
-        "session_id",
-        (F.row_number().over(order) - 1).cast("long").alias("seq"),
+    return [
         text("$.uuid").alias("uuid"),
         text("$.parentUuid").alias("parent_uuid"),
-        "type",
+        F.col("type"),
         text("$.message.role").alias("role"),
         text("$.message.model").alias("model"),
         parse_timestamp(r).alias("timestamp"),
@@ -35,7 +32,13 @@ def messages(records: DataFrame) -> DataFrame:
         json_text(content).alias("content_json"),
         *(int_at(r, f"$.message.usage.{c}").alias(c) for c in USAGE),
         F.lit(None).cast("array<float>").alias("embedding"),
-    )
+    ]
+
+
+def messages(records: DataFrame) -> DataFrame:
+    """One row for each message record, in the columns of schemas.MESSAGES; seq is dense in each session."""
+    order = Window.partitionBy("session_id").orderBy("line_no")
+    return records.where(is_message()).select("session_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), *message_columns())
 
 
 def tool_blocks(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,16 +100,21 @@ def tool_calls(records: DataFrame) -> DataFrame:
     )
 
 
-def session_attributes(records: DataFrame) -> DataFrame:
-    """One row for each session: of each attribute, the value of the first record that has the key; null means none."""
+def first_attributes(records: DataFrame) -> DataFrame:
+    """One row for each session: of each attribute, the value of the first record that has the key; null: none has it."""
     chosen = []
     for name, key in ATTRIBUTES.items():
         there = is_message() & F.try_variant_get("record", f"$.{key}", "variant").isNotNull()
         chosen.append(F.min_by(F.struct(text_at(F.col("record"), f"$.{key}").alias("v")), F.when(there, F.col("line_no")))["v"].alias(name))
     mode = F.col("type") == "permission-mode"
     chosen.append(F.min_by(F.struct(text_at(F.col("record"), "$.permissionMode").alias("v")), F.when(mode, F.col("line_no")))["v"].alias("permission_mode"))
-    found = records.groupBy("session_id").agg(*chosen)
-    return found.select("session_id", F.lit("unknown").alias("model"), F.lit(None).cast("double").alias("created_at"), F.lit("").alias("summary"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("cwd", "git_branch", "agent_version", "permission_mode", "session_id_original")))
+    return records.groupBy("session_id").agg(*chosen)
+
+
+def session_attributes(records: DataFrame) -> DataFrame:
+    """first_attributes in the columns of schemas.SESSIONS; the empty string means none."""
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("cwd", "git_branch", "agent_version", "permission_mode", "session_id_original")]
+    return first_attributes(records).select("session_id", F.lit("unknown").alias("model"), F.lit(None).cast("double").alias("created_at"), F.lit("").alias("summary"), *text)
 
 
 def counters(records: DataFrame) -> DataFrame:

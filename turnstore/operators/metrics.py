@@ -22,3 +22,14 @@ def file_bytes(spark, paths: str | list[str]) -> DataFrame:
     """Bytes and files below paths."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("length")
     return found.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
+
+
+def median_of_repeats(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """The median of the repeats of each measurement; of an even number the mean of the middle two."""
+    return df.groupBy(*keys).agg(F.median(value).alias("median"))
+
+
+def line_counts(spark, paths: str | list[str]) -> DataFrame:
+    """Lines of each text file; a file without any isn't there."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"))
+    return lines.groupBy("file").agg(F.count("*").alias("lines"))

@@ -9,13 +9,13 @@ from turnstore.schemas import USAGE
 
 
 def recent_context(turns: DataFrame, n: int, session: str | None = None, key: str = "session_id", order: str = "seq") -> DataFrame:
-    """The last n rows, in order: of one session (a top-k), or of every session (a window limited by group)."""
+    """The last n rows: of one session, in order (a top-k), or of every session, as they lie (a window limited by group)."""
     if n <= 0:
         return turns.limit(0)
     if session is not None:
         return turns.where(F.col(key) == session).orderBy(F.col(order).desc()).limit(n).orderBy(order)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return turns.withColumn("_place", place).where(F.col("_place") <= n).drop("_place").orderBy(key, order)
+    return turns.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def turn_view(messages: DataFrame) -> DataFrame:
@@ -43,12 +43,24 @@ def tool_errors(calls: DataFrame) -> DataFrame:
     return calls.groupBy("name").agg(F.count("*").alias("calls"), F.count_if("is_error").alias("errors"), F.avg(F.col("is_error").cast("double")).alias("error_rate"))
 
 
+def with_messages(calls: DataFrame, messages: DataFrame) -> DataFrame:
+    """Tool calls beside the messages that made the call and that brought the result (structs; null where there is none)."""
+    asked = messages.select("session_id", F.col("uuid").alias("message_uuid"), F.struct(*messages.columns).alias("message"))
+    brought = messages.select("session_id", F.col("uuid").alias("result_uuid"), F.struct(*messages.columns).alias("result_message"))
+    return calls.join(asked, ["session_id", "message_uuid"], "left").join(brought, ["session_id", "result_uuid"], "left")
+
+
+def call_args(calls: DataFrame, name: str) -> DataFrame:
+    """The arguments of every call of one tool, as VARIANT; null if they aren't JSON."""
+    return calls.where(F.col("name") == name).select("session_id", "tool_use_id", F.try_parse_json("args_json").alias("args"))
+
+
 def inspect(sessions: DataFrame, messages: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row for each session: its attributes, messages, tool calls and token sums, by name."""
+    """One row for each session: its attributes, messages, tool calls and token sums."""
     m = messages.groupBy("session_id").agg(F.count("*").alias("messages"), *(F.sum(c).alias(c) for c in USAGE))
     c = calls.groupBy("session_id").agg(F.count("*").alias("tool_calls"))
     zero = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("messages", "tool_calls", *USAGE)]
-    return sessions.join(m, "session_id", "left").join(c, "session_id", "left").select(*sessions.columns, *zero).orderBy("session_id")
+    return sessions.join(m, "session_id", "left").join(c, "session_id", "left").select(*sessions.columns, *zero)
 
 
 def export_records(messages: DataFrame) -> DataFrame:

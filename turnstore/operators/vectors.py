@@ -17,6 +17,9 @@ from turnstore.schemas import INDEXED, VECTORS
 
 #: Numbers and rows of a block of vectors; queries that are compared with one at once.
 BLOCK, BLOCK_ROWS, BLOCK_QUERIES = 1 << 18, 2048, 256
+#: Bytes of query vectors that are sent to all tasks at most; more of them meet the rows by a product of blocks.
+SENT_BYTES = 64 << 20
+FORMAT_VERSION = 1
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -128,13 +131,15 @@ def nearest_within(x: np.ndarray, place: np.ndarray, q: np.ndarray, limit: int)
 def query_batch(base: DataFrame, queries: DataFrame, limit: int, key: str = "id", query_key: str = "query_id") -> DataFrame:
     """The nearest rows of each query vector (query_key, vector), all rows against all; ties by key.
 
-    Blocks of rows meet blocks of queries; of each two the nearest of each query stay, and those are merged by query.
+    Blocks of rows meet blocks of queries (a stated set, sent to all tasks if it is measured to be small); of each two the nearest of each query stay, and those are merged by query.
     A row without a vector of the query's length has the distance null, which comes first.
     """
     if limit < 1:
         return base.crossJoin(queries).select(query_key, key, F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).where("false")
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, query_key), (base, key))]
-    pairs = blocks(base, key, "embedding", ("ks", "vs")).crossJoin(blocks(queries.repartition(query_key), query_key, "vector", ("qs", "us")))
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("vector") + 64), F.lit(0))).first()[0]
+    wanted = blocks(queries.repartition(query_key), query_key, "vector", ("qs", "us"))
+    pairs = blocks(base, key, "embedding", ("ks", "vs")).crossJoin(F.broadcast(wanted) if size <= SENT_BYTES else wanted)
 
     def found(ks: pa.Array, vs: pa.ListArray, qs: pa.Array, us: pa.ListArray):
         place = np.empty(len(ks), np.int64)
@@ -170,13 +175,19 @@ def list_ids(base: DataFrame, where: dict | None = None, key: str = "id") -> Dat
 
 
 class VectorStore:
-    """Documents in Parquet snapshots below a root; one writer. A snapshot counts once it is written whole."""
+    """Documents in Parquet snapshots below a root; one writer. A snapshot counts once it is written whole.
+
+    RuntimeError if the store is of another format version or dimension than the one that opens it.
+    """
 
     def __init__(self, spark: SparkSession, root: str, embedder):
         self.spark, self.root, self.embedder = spark, root, embedder
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         self._fs, self._path = path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-        if (v := self._version()) and (row := self.docs().select(F.size("embedding").alias("n")).first()) and row["n"] != embedder.dim:
+        self._dim = embedder.dim
+        if (v := self._version()) and (held := self._format()) not in (None, FORMAT_VERSION):
+            raise RuntimeError(f"the store at {root} has format version {held}, not {FORMAT_VERSION}")
+        if v and (row := self.docs().select(F.size("embedding").alias("n")).first()) and row["n"] != embedder.dim:
             raise RuntimeError(f"snapshot {v} has dimension {row['n']}, the embedder {embedder.dim}")
 
     def _version(self) -> int:
@@ -184,20 +195,33 @@ class VectorStore:
             return 0
         Path = self.spark._jvm.org.apache.hadoop.fs.Path
         names = [s.getPath() for s in self._fs.listStatus(self._path)]
-        return max((int(p.getName()[1:]) for p in names if p.getName().startswith("v") and self._fs.exists(Path(p, "_SUCCESS"))), default=0)
+        return max((int(p.getName()[1:]) for p in names if p.getName()[1:].isdigit() and self._fs.exists(Path(p, "_SUCCESS"))), default=0)
+
+    def _format(self) -> int | None:
+        """The format version that the newest snapshot was written in; None if it doesn't tell."""
+        path = f"{self.root}/v{self._version():08d}.format"
+        if not self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path)):
+            return None
+        return int(self.spark.read.text(path).first()[0])
 
     def docs(self) -> DataFrame:
         v = self._version()
         return self.spark.read.schema(VECTORS).parquet(f"{self.root}/v{v:08d}") if v else self.spark.createDataFrame([], VECTORS)
 
     def _commit(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{self._version() + 1:08d}")
+        name = f"{self.root}/v{self._version() + 1:08d}"
+        self.spark.createDataFrame([(str(FORMAT_VERSION),)], "value string").coalesce(1).write.mode("overwrite").text(f"{name}.format")
+        df.write.mode("overwrite").parquet(name)
 
     def _ids(self, ids: Iterable[str]) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "id string")
 
     def upsert(self, docs: Sequence[dict]) -> None:
-        """docs: dicts of id, text and metadata; the text is embedded and not kept."""
+        """docs: dicts of id, text and metadata; the text is embedded and not kept. ValueError if the dimension has changed."""
+        if not docs:
+            return
+        if (n := self.embedder.embed([docs[0]["text"]]).shape[1]) != self._dim:
+            raise ValueError(f"the embedder gives dimension {n}, the store has {self._dim}")
         rows = [(n, d["id"], d["text"], *(d.get("metadata", {}).get(k) for k in INDEXED), {k: json.dumps(v, ensure_ascii=False) for k, v in d.get("metadata", {}).items() if k not in INDEXED}) for n, d in enumerate(docs)]
         new = self.spark.createDataFrame(rows, "n long, id string, text string, " + ", ".join(f"{k} {t}" for k, t in INDEXED.items()) + ", extras map<string,string>")
         self._commit(upsert(self.docs(), new.withColumn("embedding", self.embedder.column("text")), "n"))
@@ -214,8 +238,8 @@ class VectorStore:
         top = query(docs, self.embedder.embed([text])[0], limit, where)
         return metadata(docs.join(F.broadcast(top), "id")).select("rank", "id", "distance", "metadata").orderBy("rank")
 
-    def list_ids(self, where: dict | None = None) -> list[str]:
-        return [r["id"] for r in list_ids(self.docs(), where).orderBy("id").collect()]
+    def list_ids(self, where: dict | None = None) -> DataFrame:
+        return list_ids(self.docs(), where)
 
     def __len__(self) -> int:
         return self.docs().count()

@@ -102,15 +102,15 @@ def record_type_filter(spark, sf_dir):
 
 
 def paired_events(spark, sf_dir) -> DataFrame:
-    """Clicks as uses and purchases as results, with the user as id: ids repeat on both sides."""
-    e = t(spark, sf_dir, "events").select(F.lit(0).alias("session_id"), F.col("user_id").alias("tool_use_id"), F.col("event_id").alias("at"), "event_type", "value")
+    """Clicks as uses and purchases as results, four neighbouring events sharing an id: ids repeat or miss on both sides."""
+    e = t(spark, sf_dir, "events").select(F.lit(0).alias("session_id"), F.expr("event_id div 4").alias("tool_use_id"), F.col("event_id").alias("at"), "event_type", "value")
     uses, results = e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type")
     return ingest.pair(uses, results).select("tool_use_id", F.col("use.at").alias("use_id"), F.col("result.at").alias("result_id"), F.col("result.value").alias("result_value"))
 
 
-_PAIRED = """with u as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type = 'click'),
-r as (select user_id, max(event_id) as event_id, arg_max(value, event_id) as value, 1 as n from events where event_type = 'purchase' group by 1),
-p as (select coalesce(u.user_id, r.user_id) as tool_use_id, u.event_id as use_id, r.event_id as result_id, r.value as result_value from u full join r on r.user_id = u.user_id and r.n = u.n) select * from p"""
+_PAIRED = """with e as (select *, event_id // 4 as id from events), u as (select id, event_id, row_number() over (partition by id order by event_id) as n from e where event_type = 'click'),
+r as (select id, max(event_id) as event_id, arg_max(value, event_id) as value, 1 as n from e where event_type = 'purchase' group by 1),
+p as (select coalesce(u.id, r.id) as tool_use_id, u.event_id as use_id, r.event_id as result_id, r.value as result_value from u full join r on r.id = u.id and r.n = u.n) select * from p"""
 
 
 @query(_PAIRED)
@@ -181,6 +181,39 @@ def parent_chain(spark, sf_dir):
     return sessions.parent_chain(m).select("session_id", "seq", "parent_seq", "parent_role")
 
 
+@query("""select c.event_id as call, c.event_type as name, m.role as role, r.text as result_text from events c
+    left join conversations m on m.conv_id = c.user_id and m.turn = c.event_id % 5 left join conversations r on r.conv_id = c.user_id and r.turn = c.event_id % 5 + 1""")
+def calls_with_messages(spark, sf_dir):
+    """Events as tool calls that a turn of the user's conversation made and the next one answered."""
+    m = turns(spark, sf_dir).withColumn("uuid", F.concat(F.lit("m"), "seq"))
+    of = lambda k: F.concat(F.lit("m"), F.col("event_id") % 5 + k)
+    calls = t(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call"), F.col("event_type").alias("name"), of(0).alias("message_uuid"), of(1).alias("result_uuid"))
+    return sessions.with_messages(calls, m).select("call", "name", F.col("message.role").alias("role"), F.col("result_message.text").alias("result_text"))
+
+
+@query("select event_id::varchar as tool_use_id, json_extract(props, '$.k')::bigint as k from events where event_type = 'purchase'")
+def args_of_calls(spark, sf_dir):
+    """The arguments of every call of one tool."""
+    calls = t(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").cast("string").alias("tool_use_id"), F.col("event_type").alias("name"), F.col("props").alias("args_json"))
+    return sessions.call_args(calls, "purchase").select("tool_use_id", F.try_variant_get("args", "$.k", "long").alias("k"))
+
+
+@query("select event_type, round(median(value), 6) as median from events group by 1")
+def median_of_repeats(spark, sf_dir):
+    return metrics.median_of_repeats(t(spark, sf_dir, "events"), "value", "event_type").withColumn("median", F.round("median", 6))
+
+
+@query("select role as file, sum(length(text) - length(replace(text, chr(10), '')) + 1)::bigint as lines from conversations where text <> '' and not suffix(text, chr(10)) group by 1")
+def line_counts(spark, sf_dir):
+    """The texts of each role as text files, counted by line."""
+    path = scratch(spark, "lines")
+    # a text that ends in a line feed would end two lines
+    rows = t(spark, sf_dir, "conversations").where("text <> '' and not endswith(text, '\n')").select("role", "text")
+    rows.write.partitionBy("role").text(path)
+    counted = metrics.line_counts(spark, path).withColumn("file", F.regexp_extract("file", "role=([^/]*)", 1))
+    return counted.groupBy("file").agg(F.sum("lines").alias("lines"))
+
+
 def vector_docs(spark, sf_dir) -> DataFrame:
     """embeddings as documents: the label is the project, the id's remainder the document type."""
     kind = F.when(F.col("vec_id") % 10 < 7, "observation").when(F.col("vec_id") % 10 < 9, "session_summary").otherwise("user_prompt")
@@ -216,11 +249,11 @@ def cosine_topk_and(spark, sf_dir):
     return nearest(spark, sf_dir, {"$and": [{"project": "project_1"}, {"doc_type": "observation"}]})
 
 
-@query(f"""with d as ({_DOCS}), s as (select q.id as query_id, d.id, 1 - list_dot_product(d.e, q.e) as distance from d, d q where q.id < 10)
+@query(f"""with d as ({_DOCS}), s as (select q.id as query_id, d.id, 1 - list_dot_product(d.e, q.e) as distance from d, d q where q.id % 100 = 0)
     select query_id, id, round(distance, 6) + 0.0 as distance, row_number() over (partition by query_id order by distance, id) as rank from s qualify rank <= 5""")
 def cosine_topk_batch(spark, sf_dir):
     docs = vector_docs(spark, sf_dir)
-    wanted = docs.where("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    wanted = docs.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     return vectors.query_batch(docs, wanted, 5).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
@@ -234,12 +267,12 @@ def unit_norm(spark, sf_dir):
     return vector_docs(spark, sf_dir).select("id", F.round(fv.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query("""with new as (select doc_id // 2 as id, lang, 'new' as source, doc_id as n from documents where doc_id % 3 = 0), last as (select * from new qualify row_number() over (partition by id order by n desc) = 1)
-    select doc_id as id, lang, source from documents where doc_id % 2 = 0 and doc_id not in (select id from last) union all select id, lang, source from last""")
+@query("""with new as (select doc_id // 2 as id, lang, 'new' as source, doc_id as n from documents), last as (select * from new qualify row_number() over (partition by id order by n desc) = 1)
+    select doc_id as id, lang, source from documents where doc_id not in (select id from last) union all select id, lang, source from last""")
 def upsert_lastwins(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    new = d.where("doc_id % 3 = 0").select(F.expr("doc_id div 2").alias("id"), "lang", F.lit("new").alias("source"), F.col("doc_id").alias("n"))
-    return vectors.upsert(d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "lang", "source"), new, "n")
+    new = d.select(F.expr("doc_id div 2").alias("id"), "lang", F.lit("new").alias("source"), F.col("doc_id").alias("n"))
+    return vectors.upsert(d.select(F.col("doc_id").alias("id"), "lang", "source"), new, "n")
 
 
 @query("select doc_id as id, lang, source from documents where doc_id not in (select doc_id from labels where toxic = 1)")
@@ -278,7 +311,7 @@ def op_profile(spark, sf_dir):
 
 @query("select distinct conv_id as session_id from conversations")
 def multi_session_list(spark, sf_dir):
-    return turns(spark, sf_dir).select("session_id").distinct().orderBy("session_id")
+    return turns(spark, sf_dir).select("session_id").distinct()
 
 
 @query("select conv_id, turn, role, text from conversations")

@@ -18,9 +18,11 @@ def read_logs(spark: SparkSession, paths: str | list[str], session_id: str | Non
     return lines.withColumn("line", F.trim(F.regexp_replace("line", r"\r$", ""))).where("line != ''")
 
 
-def find_logs(root: str, session_id: str) -> str:
-    """Glob of a session's log below a root of project folders."""
-    return f"{root}/*/{session_id}.jsonl"
+def find_log(spark: SparkSession, root: str, session_id: str) -> str | None:
+    """The log of a session below a root of project folders; of several the first by path, None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{session_id}.jsonl")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return min((f.getPath().toString() for f in found), default=None)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Sessions in files: messages, tool calls, artifacts and session attributes below one root, as Parquet or ORC."""
+"""Sessions in files: messages, tool calls, artifacts and session attributes below one root, as Parquet or ORC.
+
+A table has one folder for each of BUCKETS hashes of the session id, and in each file the rows of a session lie together
+and in order: what one session holds is found by the folder and by the statistics of its files.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstore import schemas
@@ -17,6 +21,12 @@ from turnstore.sources.jsonl import parse_lines, read_logs
 
 TABLES = {"messages": schemas.MESSAGES, "tool_calls": schemas.TOOL_CALLS, "sessions": schemas.SESSIONS, "artifacts": schemas.ARTIFACTS}
 
+BUCKETS = 64
+
+
+def bucket(session_id: Column) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
+
 
 class Store:
     """All sessions below a root. Appends are new files; a table that was never written is empty."""
@@ -30,14 +40,22 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, session_id: str | None = None) -> DataFrame:
+        """All rows of a table, or those of one session, which are read from its bucket only."""
         if not self._there(name):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).format(self.format).load(f"{self.root}/{name}")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Rows of a session stay together and in order, so that its rows are found by file statistics."""
-        rows.select(self.spark.createDataFrame([], TABLES[name]).columns).write.mode("append").format(self.format).save(f"{self.root}/{name}")
+        rows = self.spark.read.schema(f"{TABLES[name]}, bucket int").format(self.format).load(f"{self.root}/{name}")
+        if session_id is not None:
+            rows = rows.where((F.col("bucket") == bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+        return rows.drop("bucket")
+
+    def append(self, name: str, rows: DataFrame, few: bool = False) -> None:
+        """Add rows; unless they are few, they are dealt by bucket, and a bucket of many rows is split."""
+        columns = self.spark.createDataFrame([], TABLES[name]).columns
+        rows = rows.select(*columns, bucket(F.col("session_id")).alias("bucket"))
+        rows = rows.coalesce(1) if few else rows.hint("rebalance", "bucket")
+        order = ["bucket", "session_id", *(c for c in ("seq",) if c in columns)]
+        rows.sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").format(self.format).save(f"{self.root}/{name}")
 
     def convert(self, paths: str | list[str], session_id: str | None = None, overwrite: bool = False) -> dict:
         """Take in logs; the counters over all of them. The session id is the file's stem unless given."""
@@ -62,16 +80,17 @@ class Store:
         bare = self.table("messages").select("session_id").distinct().join(newest, "session_id", "left_anti")
         return sessions.inspect(newest.unionByName(bare, allowMissingColumns=True), self.table("messages"), self.table("tool_calls"))
 
-    def list_sessions(self) -> list[str]:
-        return [r[0] for r in self.table("messages").select("session_id").distinct().orderBy("session_id").collect()]
+    def list_sessions(self) -> DataFrame:
+        """The ids of all sessions that have a message."""
+        return self.table("messages").select("session_id").distinct()
 
     def export(self, out: str, session_id: str | None = None, overwrite: bool = False) -> None:
         """JSON lines of one session (the first by name unless given) as one text file in a folder."""
-        names = self.list_sessions()
-        if not names or (session_id is not None and session_id not in names):
-            raise ValueError(f"no session {session_id!r}; available: {names}")
-        chosen = self.table("messages").where(F.col("session_id") == (session_id or names[0]))
-        sessions.export_records(chosen).coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(out)
+        chosen = session_id if session_id is not None else self.table("messages").agg(F.min("session_id")).first()[0]
+        rows = self.table("messages", chosen) if chosen is not None else None
+        if rows is None or rows.isEmpty():
+            raise ValueError(f"no session {chosen!r}" if chosen is not None else "there is no session")
+        sessions.export_records(rows).coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(out)
 
 
 class Session:
@@ -90,7 +109,7 @@ class Session:
         """Nothing is held back: every append is committed when it returns."""
 
     def _mine(self, name: str) -> DataFrame:
-        return self.store.table(name).where(F.col("session_id") == self.session_id)
+        return self.store.table(name, self.session_id)
 
     def _next(self, name: str) -> int:
         return self._mine(name).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
@@ -106,28 +125,30 @@ class Session:
             raise ValueError("embeddings of a session have one dimension")
         start, now, ids = self._next("messages"), time.time(), [str(uuid.uuid4())[:12] for _ in turns]
         rows = [(self.session_id, start + k, ids[k], "", t[0], t[0], "", now, t[1], json.dumps(t[1]), 0, 0, 0, 0, vectors[k]) for k, t in enumerate(turns)]
-        self.store.append("messages", self.store.spark.createDataFrame(rows, schemas.MESSAGES).coalesce(1))
+        self.store.append("messages", self.store.spark.createDataFrame(rows, schemas.MESSAGES), few=True)
         return ids
 
     def add_turn(self, role: str, content: str, embedding: Sequence[float] | None = None) -> str:
         return self.add_turns([(role, content, embedding)])[0]
 
-    def add_tool_call(self, name: str, args: dict, result_text: str | None = None, result_data: np.ndarray | None = None) -> str:
+    def add_tool_call(
+        self, name: str, args: dict, result_text: str | None = None, result_data: np.ndarray | None = None, message_uuid: str = "", result_uuid: str = "", is_error: bool = False
+    ) -> str:
         call = str(uuid.uuid4())[:12]
-        row = (self.session_id, self._next("tool_calls"), call, "", name, json.dumps(args), result_text or "", "", time.time(), False)
-        self.store.append("tool_calls", self.store.spark.createDataFrame([row], schemas.TOOL_CALLS))
+        row = (self.session_id, self._next("tool_calls"), call, message_uuid, name, json.dumps(args), result_text or "", result_uuid, time.time(), is_error)
+        self.store.append("tool_calls", self.store.spark.createDataFrame([row], schemas.TOOL_CALLS), few=True)
         if result_data is not None:
             self.store_artifact(f"tool:{call}", result_data)
         return call
 
     def get_recent_context(self, n: int = 20) -> DataFrame:
-        return sessions.recent_context(sessions.turn_view(self.store.table("messages")), n, self.session_id)
+        return sessions.recent_context(sessions.turn_view(self._mine("messages")), n, self.session_id)
 
     def store_artifact(self, name: str, data: np.ndarray) -> None:
         """The newest version of a name counts."""
         data = np.ascontiguousarray(data)
         row = (self.session_id, name, time.time_ns(), data.dtype.str, [*map(int, data.shape)], data.tobytes())
-        self.store.append("artifacts", self.store.spark.createDataFrame([row], schemas.ARTIFACTS))
+        self.store.append("artifacts", self.store.spark.createDataFrame([row], schemas.ARTIFACTS), few=True)
 
     def get_artifact(self, name: str) -> np.ndarray | None:
         row = self._mine("artifacts").where(F.col("name") == name).orderBy(F.col("version").desc()).first()
@@ -144,7 +165,7 @@ class Session:
         old = self._mine("sessions").orderBy(F.col("created_at").desc_nulls_last()).first()
         row = {**({k: None for k in self.store.table("sessions").columns} if old is None else old.asDict()), **{k: v for k, v in attrs.items() if v is not None}}
         row |= {"session_id": self.session_id, "created_at": time.time()}
-        self.store.append("sessions", self.store.spark.createDataFrame([row], schemas.SESSIONS))
+        self.store.append("sessions", self.store.spark.createDataFrame([row], schemas.SESSIONS), few=True)
 
     def attrs(self) -> dict:
         row = self._mine("sessions").orderBy(F.col("created_at").desc_nulls_last()).first()
