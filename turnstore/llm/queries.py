@@ -28,7 +28,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialise(measured.drop("text"))
     judged, kept = quality_rules.judge(measured, name, quality_rules.cutoffs(measured, name, table(spark, sf_dir, "labels")))
     m = F.col(name)
-    return judged.select("doc_id", *(m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), F.col(kept).alias("kept"))
+    return judged.select("doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), F.col(kept).alias("kept"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
