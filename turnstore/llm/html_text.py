@@ -232,10 +232,16 @@ def lstm_back(w: dict, k: int, x: np.ndarray, cache: list, dout: np.ndarray) ->
     return x.reshape(-1, x.shape[2]).T @ flat, du, flat.sum(0)
 
 
-def label(w: dict, x: np.ndarray, caches: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The probability that each block (step, page) is main text, and the states."""
+def turned(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each page's steps in reverse order; what pads it stays behind them, so that no page reads another's padding."""
+    step = np.arange(len(x))[:, None]
+    return np.take_along_axis(x, np.where(step < sizes, sizes - 1 - step, step)[:, :, None], axis=0)
+
+
+def label(w: dict, x: np.ndarray, sizes: np.ndarray, caches: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The probability that each block (step, page) is main text, and the states; sizes: blocks of each page."""
     ahead = lstm(w, 0, x, caches and caches[0])
-    back = lstm(w, 1, x[::-1], caches and caches[1])[::-1]
+    back = turned(lstm(w, 1, turned(x, sizes), caches and caches[1]), sizes)
     states = np.concatenate((ahead, back), axis=2)
     return sigmoid(states @ w["w"] + w["v"]), states
 
@@ -349,11 +355,12 @@ def train(pages: int = 1500, epochs: int = 3, batch: int = 24, seed: int = 5) ->
             x, y, on = padded([data[k] for k in order[at : at + batch]])
             x[:, :, :PATH_DIM] *= rng.random((1, x.shape[1], PATH_DIM)) > 0.1  # names that some site doesn't use
             caches = ([], [])
-            p, states = label(w, x, caches)
+            sizes = on.sum(0).astype(np.int64)
+            p, states = label(w, x, sizes, caches)
             d = ((p - y) * on / on.sum()).astype(f)
             ds = d[:, :, None] * w["w"]
             gx0, gu0, gb0 = lstm_back(w, 0, x, caches[0], ds[:, :, :HIDDEN])
-            gx1, gu1, gb1 = lstm_back(w, 1, x[::-1], caches[1], ds[::-1, :, HIDDEN:])
+            gx1, gu1, gb1 = lstm_back(w, 1, turned(x, sizes), caches[1], turned(ds[:, :, HIDDEN:], sizes))
             grads = [gx0, gx1, gu0, gu1, gb0, gb1, np.tensordot(d, states, ((0, 1), (0, 1))), d.sum().reshape(1)]
             step += 1
             rate = 0.012 * min(1.0, 3 * (1 - step / (total + 1)))
@@ -391,7 +398,7 @@ def main_texts(w: dict, parser: Parser, pages: list[str]) -> list[str]:
             end += 1
         group = order[at:end]
         x, _, _ = padded([(parser.vectors(found[k]), np.zeros(len(found[k]), np.float32)) for k in group])
-        p, _ = label(w, x)
+        p, _ = label(w, x, np.array([len(found[k]) for k in group]))
         for column, k in enumerate(group):
             out[k] = "\n".join([b.text for b, on in zip(found[k], (p[:, column] >= 0.5).tolist()) if on])
         at = end
