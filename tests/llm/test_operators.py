@@ -231,12 +231,12 @@ def test_gradients():
 
 
 def test_html(spark):
-    w = html_text.train()
+    w = html_text.model()
     rng, parser, right, n = np.random.default_rng(77), html_text.Parser(), 0, 0
     for _ in range(150):
         x, y = html_text.sample_sequence(rng, parser)
         if len(y):
-            p, _ = html_text.label(w, x[:, None])
+            p, _ = html_text.label(w, x[:, None], np.array([len(y)]))
             right, n = right + int(((p[:, 0] >= 0.5) == (y > 0)).sum()), n + len(y)
     assert right / n > 0.96
     article = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class=ad>Buy now.</div><article><h1>A  title &amp; more</h1><p><b>First\n paragraph, it is long enough.<br>Second line.<p>Third one here, with words.</p><script>var x='</p>'</script></article><footer>&copy; site</footer>"
@@ -246,6 +246,16 @@ def test_html(spark):
     assert [got[k]["text"] for k in (2, 3, 4)] == ["", "", ""] and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_encoder_long_and_unknown():
+    """Long fragments, many of them, and code points that Unicode tables of other versions may know."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), bpe.Encoder(path)
+    texts = ["qwertyuiop" * 4000, " ".join("plokmijn" * 13 + str(k) for k in range(800)), "é" * 20_000]
+    texts += [f"a{chr(x)}b B{chr(x)}" for x in (0x558, 0x1C89, 0x378, 0x2FE0, 0xE01, 0x10FFFF, 0xFFFF, 0x1FAFF, 0x323B0)]
+    for text in texts:
+        assert e.encode(text) == t.encode(text, add_special_tokens=False).ids, text[:20]
+
+
 def test_html_long_attributes():
     long = ' class="ad" style="' + "x" * 200 + '"'
     for order in ((long, ""), ("", long), (long, long.replace("ad", "story"))):
@@ -253,7 +263,8 @@ def test_html_long_attributes():
         for attributes in order:
             assert parser.path_slots("div", attributes) == html_text.Parser().path_slots("div", attributes)
     parser, pages = html_text.Parser(), [f"<div{long}>Buy now.</div>", "<div>A text.</div>", f"<div{long}>Buy now.</div>"]
-    assert [parser.blocks(p) for p in pages] == [html_text.Parser().blocks(p) for p in pages]
+    plain = lambda blocks: [(b.text, b.path.tolist(), b.linked) for b in blocks]
+    assert [plain(parser.blocks(p)) for p in pages] == [plain(html_text.Parser().blocks(p)) for p in pages]
 
 
 @pytest.mark.parametrize(
@@ -264,6 +275,7 @@ def test_html_long_attributes():
         ("<head><title>x</title>\n<meta a=b> Bare text<p>more", ["Bare text", "more"]),
         ("<head><title>x<meta a=b><body><p>Some text.</p>", ["Some text."]),
         ("<head><title>x</head><body>Some text.<svg><title>no</title></svg>", ["Some text."]),
+        ("<p>a <math><mi>b</mi><mo>+</mo></math> c<p>d", ["a b+ c", "d"]),
         ("<title>x<p>Some text.", ["Some text."]),
         ("<head><title>How <b> is used</title></head><body>Some <title>no</title> text.", ["Some", "text."]),
         ("<html><head><title>x</title><style>p</style></head>\n<body><header>a</header><p>b</body>", ["a", "b"]),
