@@ -373,8 +373,8 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
-def test_packing_ids(monkeypatch):
-    """The library's ids of whole texts, also of long runs of one kind of character, cut in slices and forgotten units."""
+def test_packing_ids():
+    """The library's ids of whole texts, also of long runs of one kind of character, and of code points in all planes."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     rng = np.random.default_rng(12)
@@ -386,10 +386,11 @@ def test_packing_ids(monkeypatch):
         assert e.encode(text).tolist() == whole(text), text
     for text in (" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "é " * 700_000, "ab\n\n " * 400_000):
         assert e.encode(text).tolist() == whole(text)
-    monkeypatch.setattr(packing, "GROUP", 5)
-    monkeypatch.setattr(packing, "MEMO", 3)
-    monkeypatch.setattr(packing, "LONGEST", 2)
-    for text in [x or "" for x in ODD] + fuzz[:300]:
+    points = [f"a{chr(x)}b {chr(x)}1" for x in range(0x80, 0x32000, 7) if not 0xD800 <= x < 0xE000]
+    for text, known in zip(points, t.encode_batch_fast(points, add_special_tokens=False)):
+        assert e.encode(text).tolist() == known.ids, text
+    for text in fuzz[:300]:  # long units, specials and unknown code points beside one another
+        text = text + "x" * 1500 + text + " " * 1200 + text
         assert e.encode(text).tolist() == whole(text), text
 
 
