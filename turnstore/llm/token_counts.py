@@ -30,6 +30,10 @@ UNITS = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 EDGE = re.compile(f"(?<=[^ {SPACE}])(?=[ {SPACE}])")
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8"))
+
+
 class Counter:
     """Counts the tokens of texts with one model; one in each Python worker."""
 
@@ -47,7 +51,7 @@ class Counter:
         size, batch = 0, []
         for u in units:
             batch.append(u)
-            size += len(u)
+            size += n_bytes(u)
             if size >= BATCH_BYTES:
                 self._encode(batch)
                 size, batch = 0, []
@@ -75,7 +79,7 @@ class Counter:
         for k, text in enumerate(texts):
             for found in self.units(text):
                 group.append((k, found))
-                size += sum(map(len, found)) if len(found) == 1 else len(text)
+                size += n_bytes(text) if len(text) <= GROUP_BYTES else GROUP_BYTES
                 if size >= GROUP_BYTES:
                     self._add(group, out)
                     group, size = [], 0
