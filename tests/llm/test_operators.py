@@ -94,6 +94,7 @@ def test_audio(spark):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload)) and media.read(bytes(r["media"])) == (media.MU_LAW, payload)
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
         assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and r["media_bytes"] == len(r["media"])
+        assert (r["pcm_bytes"], r["pcm_sha256"]) == (len(r["pcm"]), hashlib.sha256(bytes(r["pcm"])).hexdigest())
         assert len(r["pcm"]) == 4 * len(payload) and (np.frombuffer(bytes(r["pcm"]), np.int16)[::2] == media.MU[np.frombuffer(payload, np.uint8)]).all()
     assert got[3]["feature"] == got[len(ODD)]["feature"]
     data = np.random.default_rng(1).integers(0, 256, 192 * 5).astype(np.uint8)

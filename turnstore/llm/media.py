@@ -5,7 +5,8 @@ form, expanded to PCM by lookup tables or, for ADPCM, with numpy across all bloc
 to twice the rate. The result of a row depends on its bytes only, so equal texts have equal values.
 
 Defined cases: a null text counts as empty and gives one block of padding; a stored value that isn't such a file
-raises ValueError; texts of any length are decoded in one group of their own, in memory in proportion to them.
+raises ValueError; texts of any length are decoded in one group of their own, in memory in proportion to them; an empty
+table gives an empty result; other columns than the two that are named are dropped.
 """
 
 from __future__ import annotations
@@ -145,10 +146,11 @@ def decoded(rows: list[tuple[int, bytes]]) -> list[tuple[bytes, str]]:
 def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codecs: tuple[int, ...] = (MU_LAW, A_LAW, IMA_ADPCM), keep_values: bool = False) -> DataFrame:
     """Store every whole text as telephony audio, read it back and decode it.
 
-    The first codec is the stored form; the features have one part for each codec that the payload is decoded by.
-    With keep_values the stored file (media) and the resampled PCM (pcm) are columns too. Narrow, no shuffle.
+    The first codec is the stored form; the features have one part for each codec that the payload is decoded by. Of the
+    PCM that the stored form is expanded and resampled to, the size and a digest are given (pcm_bytes, pcm_sha256); with
+    keep_values the PCM itself (pcm, 16 bits, little-endian) and the stored file (media) are columns too. Narrow, no shuffle.
     """
-    fields = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    fields = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
     fields += ", media binary, pcm binary" if keep_values else ""
 
     def group(texts: list[bytes]) -> list[tuple]:
@@ -156,12 +158,12 @@ def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec
         payloads = [read(s)[1] for s in stored]
         by_codec = [decoded([(c, p) for p in payloads]) for c in codecs]
         return [
-            (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(s), hashlib.sha256(s).hexdigest(), "|".join(d[k][1] for d in by_codec))
+            (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(s), hashlib.sha256(s).hexdigest(), "|".join(d[k][1] for d in by_codec), len(by_codec[0][k][0]), hashlib.sha256(by_codec[0][k][0]).hexdigest())
             + ((s, by_codec[0][k][0]) if keep_values else ())
             for k, (t, s, p) in enumerate(zip(texts, stored, payloads))
         ]
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * 2 * keep_values
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * 2 * keep_values
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches):
