@@ -219,6 +219,15 @@ def test_live_pairing(spark):
 
 def test_files(spark, log, tmp_path):
     assert {r["session_id"] for r in read_logs(spark, log).collect()} == {"well"}
+    # a log in many splits has the same numbers
+    long = tmp_path / "long.jsonl"
+    long.write_text("".join(f"line {k}\n" if k % 7 else "\n" for k in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = read_logs(spark, str(long))
+        assert rows.select("line_no", "line").distinct().count() == rows.count() == 1714 and rows.where("line != concat('line ', line_no)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert find_log(spark, str(tmp_path / "logs"), "well").endswith("/project/well.jsonl") and find_log(spark, str(tmp_path / "logs"), "pond") is None
     assert [r["lines"] for r in metrics.line_counts(spark, log).collect()] == [9]
     size = metrics.file_bytes(spark, str(tmp_path / "logs")).first()
