@@ -200,6 +200,24 @@ def test_ranker(spark):
     assert {r["predicted"] for r in none.values()} == {1}
 
 
+def test_bradley_terry():
+    """The weights are those that plain gradient descent finds on the same pairs; the threshold is the quantile of the bad ones' share."""
+    rng = np.random.default_rng(31)
+    good = rng.random(400) < 0.7
+    x = rng.normal(0, 1, (400, 3)) * [1, 5, 0.2] + good[:, None] * [0.8, -3, 0.0] + [0, 100, 0]
+    model = ranker.learn(x, good)
+    z, again = (x - x.mean(0)) / x.std(0), np.random.default_rng(7)
+    n = min(ranker.PAIRS, int(good.sum()) * int((~good).sum()))
+    d = z[again.choice(np.flatnonzero(good), n)] - z[again.choice(np.flatnonzero(~good), n)]
+    w = np.zeros(3)
+    for _ in range(4000):
+        w -= 0.5 * (d.T @ (-1 / (1 + np.exp(d @ w))) / n + ranker.RIDGE * w)
+    assert np.allclose(model["weights"] * x.std(0), w, atol=1e-4)
+    scores = 1 / (1 + np.exp(-((x - model["mean"]) @ model["weights"] + model["shift"])))
+    assert (scores < ranker.THRESHOLD).sum() == (~good).sum()
+    assert scores[good].mean() > scores[~good].mean() + 0.1
+
+
 def test_language(spark):
     texts = [(EN if k % 2 else DE)[k % 20 :] * (1 + k % 9) for k in range(120)] + [None, "", "12 !?", "x" * 100_000]
     docs = documents(spark, texts).withColumn("lang", F.when(F.col("doc_id") >= 120, None).when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
