@@ -97,8 +97,10 @@ def session_inspect(spark, sf_dir):
 
 @query("select count(*) filter (event_type in ('click', 'view', 'purchase')) as messages, count(*) filter (event_type not in ('click', 'view', 'purchase')) as skipped from events")
 def record_type_filter(spark, sf_dir):
-    kept = F.coalesce(F.col("event_type").isin("click", "view", "purchase"), F.lit(False))
-    return t(spark, sf_dir, "events").agg(F.count_if(kept).alias("messages"), F.count_if(~kept).alias("skipped"))
+    """Clicks, views and purchases as the three kinds of messages."""
+    kinds = F.create_map(*(F.lit(x) for x in ("click", "user", "view", "assistant", "purchase", "summary")))
+    records = t(spark, sf_dir, "events").select(F.coalesce(kinds[F.col("event_type")], "event_type").alias("type"))
+    return records.agg(F.count_if(ingest.is_message()).alias("messages"), F.count_if(~ingest.is_message()).alias("skipped"))
 
 
 def paired_events(spark, sf_dir) -> DataFrame:
@@ -136,7 +138,11 @@ def error_by_tool(spark, sf_dir):
 
 @query("select user_id, arg_min(event_type, event_id) as event_type, min(event_id) as first_id from events group by 1")
 def first_seen_attrs(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("event_id").alias("first_id"))
+    """Events as messages of their user's session, whose attributes are those of the first one."""
+    record = F.try_parse_json(F.to_json(F.struct(F.col("event_type").alias("cwd"), F.col("event_id").cast("string").alias("version"))))
+    records = t(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("line_no"), F.lit("user").alias("type"), record.alias("record"))
+    found = ingest.session_attributes(records)
+    return found.select(F.col("session_id").alias("user_id"), F.col("cwd").alias("event_type"), F.col("agent_version").cast("long").alias("first_id"))
 
 
 @query("select conv_id, turn, role || chr(10) || text || chr(10) || 'out' as flat from conversations where text <> ''")
