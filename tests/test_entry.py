@@ -10,3 +10,17 @@ def test_contract():
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["session_id", "seq", "role", "text"]
+
+
+def test_without_the_training_operators(monkeypatch):
+    """Without the subpackage the other queries are all there; an import that fails inside it isn't hidden."""
+    monkeypatch.setattr(entry, "find_spec", lambda name: None)
+    assert entry._operators() is None
+
+    def gone(name):
+        raise ModuleNotFoundError(name=name)
+
+    monkeypatch.setattr(entry, "find_spec", gone)
+    assert entry._operators() is None
+    monkeypatch.setattr(entry, "llm", None)
+    assert "recent_context" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())

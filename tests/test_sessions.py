@@ -174,6 +174,11 @@ def test_session(spark, tmp_path, format):
         s.set_session_attrs(cwd=None, summary="wet")
         assert (s.attrs()["cwd"], s.attrs()["summary"]) == ("/garden", "wet")
         assert s.total_usage()["input_tokens"] == 0
+        before = store.table("messages").inputFiles()
+        for name in ("messages", "artifacts"):
+            store.rewrite(name)
+        assert len(before) == 2 and len(store.table("messages").inputFiles()) == 1
+        assert [r["content"] for r in s.get_recent_context(2).collect()] == ["plant 4", "water it"] and s.get_artifact("map").dtype == np.float64
     assert [r["session_id"] for r in store.list_sessions().collect()] == ["pond"] and store.inspect().first()["messages"] == 6
     with pytest.raises(ValueError):
         Store(spark, str(tmp_path), "csv")

@@ -51,11 +51,26 @@ class Store:
 
     def append(self, name: str, rows: DataFrame, few: bool = False) -> None:
         """Add rows; unless they are few, they are dealt by bucket, and a bucket of many rows is split."""
+        self._write(name, rows, few, f"{self.root}/{name}")
+
+    def _write(self, name: str, rows: DataFrame, few: bool, path: str) -> None:
         columns = self.spark.createDataFrame([], TABLES[name]).columns
         rows = rows.select(*columns, bucket(F.col("session_id")).alias("bucket"))
         rows = rows.coalesce(1) if few else rows.hint("rebalance", "bucket")
         order = ["bucket", "session_id", *(c for c in ("seq",) if c in columns)]
-        rows.sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").format(self.format).save(f"{self.root}/{name}")
+        rows.sortWithinPartitions(*order).write.mode("append").partitionBy("bucket").format(self.format).save(path)
+
+    def rewrite(self, name: str) -> None:
+        """Write a table anew: the many files of single appends become few. No one may append meanwhile."""
+        if not self._there(name):
+            return
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        new, old = f"{self.root}/{name}.{uuid.uuid4().hex}", f"{self.root}/{name}"
+        self._write(name, self.table(name), False, new)
+        fs = Path(old).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(Path(old), True)
+        if not fs.rename(Path(new), Path(old)):
+            raise OSError(f"{new} holds the rows of {name}, but couldn't take its place")
 
     def convert(self, paths: str | list[str], session_id: str | None = None, overwrite: bool = False) -> dict:
         """Take in logs; the counters over all of them. The session id is the file's stem unless given."""
