@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +55,8 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = {s: b for b, s in enumerate(byte_symbols())}
@@ -67,6 +65,16 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=self.special)
         self.allowed = set(self.special)
 
+    @cached_property
+    def library(self):
+        """Read when the first long unit comes: most tasks don't need it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         parts, at = [], 0
         for start, end in (m.span() for m in LONG_UNITS.finditer(text)) if RUN.search(text) else ():
