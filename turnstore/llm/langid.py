@@ -26,7 +26,7 @@ from turnstore.llm.common import held_out, share_of, unused
 SAMPLE, SAMPLE_CHARS = 4000, 160
 HIDDEN, WINDOW, TRAIN_WINDOW = 8, 128, 64
 #: Windows that are read together.
-GROUP = 1024
+GROUP = 2048
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes that belong to letters: a-z after lowering, and all of multi-byte characters.
