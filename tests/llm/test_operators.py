@@ -163,6 +163,20 @@ def test_quality_price(spark):
     assert [r["symbols"] for r in quality_rules.cutoffs(measured, name, frame([*labels, (400, 0)])).collect()] == [800]
 
 
+def many_labels(spark):
+    """Documents that have just enough good labels for a cutoff, and their labels, with 1,200,000 of unknown documents beside."""
+    docs = documents(spark, [" ".join(f"w{k}" for k in range(50))] * 115 + [" ".join(f"w{k}#" for k in range(50))] * 20)
+    return docs, spark.range(1_200_135).select(F.col("id").alias("doc_id"), ((F.col("id") < 115) | (F.col("id") >= 135)).cast("int").alias("quality"))
+
+
+def test_quality_many_labels(spark):
+    """Every label counts, however many there are."""
+    docs, labels = many_labels(spark)
+    measured, name = quality_rules.with_measures(docs)
+    assert [r["symbols"] for r in quality_rules.cutoffs(measured, name, labels).collect()] == [800]
+    assert quality_rules.cutoffs(measured, name, labels.where("doc_id > 0")).count() == 0
+
+
 def test_quality_guarantee():
     """By simulation: cutoffs whose true share of false rejections is above ALPHA pass in fewer than DELTA of all trials."""
     rng, level, n = np.random.default_rng(17), quality_rules.DELTA / quality_rules.CHAINS, 400

@@ -45,8 +45,6 @@ RULES = {
 #: Chains of tests: the level of each is DELTA divided by their number.
 CHAINS = len(STRATA) * len(RULES)
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_stale_words"]
-#: Labelled documents that cutoffs are chosen on at most, those of the least hashes.
-LABELLED = 1_000_000
 
 
 def with_measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
@@ -130,9 +128,8 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def known(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id and good of the labelled documents that cutoffs are chosen on."""
-    found = labels.where("quality is not null").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("good"))
-    return found.orderBy(F.xxhash64("id"), "id").limit(LABELLED) if labels.count() > LABELLED else found
+    """id and good of all labelled documents."""
+    return labels.where("quality is not null").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("good"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
