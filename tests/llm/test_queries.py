@@ -14,9 +14,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_near_copies import slow_components
-from tests.llm.test_operators import ODD, slow_fingerprint, slow_measures, slow_tail
+from tests.llm.test_operators import ODD, many_labels, slow_fingerprint, slow_measures, slow_tail
 from turnstore.llm import html_text, langid, packing, quality_rules, queries
-from turnstore.llm.common import every
+from turnstore.llm.common import SENT_IDS, every
 
 EN = "the of and with house river people water morning against between story little under garden while road letter window never".split()
 DE = "der die und mit dem haus fluss leute wasser morgen gegen zwischen klein unter garten während straße brief fenster niemals über".split()
@@ -257,6 +257,15 @@ def test_pipeline(spark, sf_dir, texts):
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), alone)
 
 
+def test_quality_stage_many_labels(spark, tmp_path):
+    """The stage takes every label, also if their ids are too many to be sent to all tasks."""
+    docs, labels = many_labels(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert labels.count() > SENT_IDS
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [*range(115)]
+
+
 def test_stages_keep_odd_rows_apart(spark, sf_dir):
     """Nulls in any column, repeated rows and ids, and ties go through every stage."""
     docs = spark.createDataFrame([(None, "the house and the river with the garden", None), (7, None, "a"), (7, None, "a"), (8, "the house and the river with the garden", "b"), (8, "the house and the river with the garden", "b"), (9, "the house and the river with the garden", None)], "doc_id long, text string, `x.y` string").withColumn("lang", F.lit("en"))
